@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.packing import pack
+from strandline.llm.quality_classifier import classify
 from strandline.llm.token_counts import count_tokens
 
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "quality.perplexity", F.col("quality.n").alias("n_chars"), "quality.limit", "quality.kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -23,5 +29,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op8_packing": op8_packing}
+QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op4_token_counts": op4_token_counts, "op8_packing": op8_packing}
 ORACLE: dict[str, str] = {}
