@@ -39,6 +39,14 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that starts with ``stem`` and that ``df`` hasn't, letters' case aside."""
+    taken = {c.lower() for c in df.columns}
+    while any(c.startswith(stem) for c in taken):
+        stem += "_"
+    return stem
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows, found without counting past the bound."""
     return df.limit(rows + 1).count() <= rows

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import join_small
+from strandline.llm.common import free_name, join_small
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -206,14 +206,6 @@ def surprise(model, text) -> F.col:
     return F.arrow_udf(score, "total double, n long")(text)
 
 
-def _name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` hasn't, letters' case aside."""
-    taken = {c.lower() for c in df.columns}
-    while stem in taken:
-        stem += "_"
-    return stem
-
-
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.0, prior: float = 64.0, least: int = 50) -> DataFrame:
     """``docs`` with a last column ``quality`` (or, if taken, ``quality_`` and so on) more: struct<perplexity
     double, n long, limit double, kept boolean>.
@@ -238,7 +230,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
     q = lambda p: F.percentile_approx("score", F.lit(p), F.lit(10000))
     limit = (q(quantile) + slack * (q(quantile) - q(0.5))).alias("limit")
     all_limit = scored.agg(limit).first()["limit"]
-    s, out = _name(docs, "surprise"), _name(docs, "quality")
+    s, out = free_name(docs, "surprise"), free_name(docs, "quality")
     of_lang, top_of = F.col(f"{s}_limit.mean"), F.col(f"{s}_limit.top")
     tops = scored.groupBy("lang").agg(F.first("mean").alias("mean"), limit, F.count(F.lit(1)).alias("docs"))
     tops = tops.select(F.col("lang").alias(f"{s}_lang"), F.struct("mean", F.when(F.col("docs") >= least, F.col("limit")).otherwise(F.lit(all_limit)).alias("top")).alias(f"{s}_limit")).persist()
