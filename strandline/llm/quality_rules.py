@@ -28,7 +28,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: measure: (numerator, denominator, scale, room)
 MEASURES = {
     "symbol_share": ("n_symbols", "n_words", 1000, 200),
-    "dup_line_share": ("n_dup_lines", "n_lines", 1000, 300),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1000, 500),
     "repeat_share": ("n_repeat_words", "n_words", 1000, 300),
     "word_length": ("word_chars", "n_words", 10, 20),
 }

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm import oracles
 from strandline.llm.packing import pack
 from strandline.llm.quality_classifier import classify
 from strandline.llm.quality_rules import apply_rules
@@ -43,4 +44,4 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_classifier": op2_quality_classifier, "op5_quality_rules": op5_quality_rules, "op4_token_counts": op4_token_counts, "op8_packing": op8_packing}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_quality_rules": oracles.QUALITY_RULES}

@@ -3,7 +3,7 @@
 A logistic regression over the distinct words of a text. It learns from a bounded, documented sample of
 labelled rows (``sample`` at most, the smallest by a hash of their id). The words it may use are those of
 the sample that tell the labels apart best, found by distributed counts and kept only if their chi-square is
-beyond what the largest of as many unrelated words would reach, and the identity terms below. Each
+beyond 1.5 times the logarithm of the number of words tried, and the identity terms below. Each
 labelled sentence that mentions a group is copied with the term swapped for another of its kind; the loss
 adds ``fairness`` times the squared difference of the two log-odds (of ``swaps`` pairs at most), so that naming one group or another, or
 a neutral mention, doesn't move a score. Labels, language, source and id are never inputs of a score.
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary:
     surplus = F.col("k") - F.col("n") * rate
     chi = surplus * surplus / (F.col("n") * rate * (1 - rate))
     seen = seen.withColumn("chi", chi).persist()
-    chance = 2 * float(np.log(max(2, seen.count())))
+    chance = 1.5 * float(np.log(max(2, seen.count())))
     best = [r["word"] for r in seen.where(F.col("chi") > chance).orderBy(F.col("chi").desc(), "word").limit(vocabulary).collect()]
     seen.unpersist()
     at = {word: i for i, word in enumerate(dict.fromkeys([*best, *_KIND]))}
