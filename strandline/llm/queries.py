@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import oracles
+from strandline.llm.neighbours import nearest
 from strandline.llm.packing import pack
 from strandline.llm.quality_classifier import classify
 from strandline.llm.quality_rules import apply_rules
@@ -38,10 +39,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_classifier": op2_quality_classifier, "op5_quality_rules": op5_quality_rules, "op4_token_counts": op4_token_counts, "op8_packing": op8_packing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_classifier": op2_quality_classifier, "op5_quality_rules": op5_quality_rules, "op4_token_counts": op4_token_counts, "op6_neighbours": op6_neighbours, "op8_packing": op8_packing}
 ORACLE = {"op5_quality_rules": oracles.QUALITY_RULES}
