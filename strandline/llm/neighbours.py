@@ -126,7 +126,7 @@ def _meet(queries: DataFrame, candidates: DataFrame, k: int, block: int) -> Data
     return q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(_search(k), "query_id long, vec_id long, score double")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 12, probes: int = 6, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 16, probes: int = 8, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row that ``is_query`` (a condition on id)."""
     taking_part = materialise(usable(vectors, id_col, vector_col).distinct(), "vectors")
     copies = Window.partitionBy("raw").orderBy("id")
