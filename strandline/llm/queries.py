@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import oracles
+from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.neighbours import nearest
 from strandline.llm.packing import pack
 from strandline.llm.quality_classifier import classify
@@ -30,6 +31,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.perplexity", F.col("quality.n").alias("n_chars"), "quality.limit", "quality.kept")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,5 +53,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_classifier": op2_quality_classifier, "op5_quality_rules": op5_quality_rules, "op4_token_counts": op4_token_counts, "op6_neighbours": op6_neighbours, "op8_packing": op8_packing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_classifier": op2_quality_classifier, "op5_quality_rules": op5_quality_rules, "op3_near_duplicates": op3_near_duplicates, "op4_token_counts": op4_token_counts, "op6_neighbours": op6_neighbours, "op8_packing": op8_packing}
 ORACLE = {"op5_quality_rules": oracles.QUALITY_RULES}
