@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, oracles
+from strandline.llm import chat, oracles, warc
 from strandline.llm.common import materialise
+from strandline.llm.mixing import mix
 from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.neighbours import nearest
 from strandline.llm.packing import pack
@@ -61,5 +62,23 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_classifier": op2_quality_classifier, "op5_quality_rules": op5_quality_rules, "op3_near_duplicates": op3_near_duplicates, "op4_token_counts": op4_token_counts, "op6_neighbours": op6_neighbours, "op7_chat": op7_chat, "op8_packing": op8_packing}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed, m = mix(docs)
+    return mixed.select("doc_id", "source", f"{m}.tokens", f"{m}.pass", f"{m}.block", f"{m}.block_order", f"{m}.doc_order")
+
+
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of the archive of all pages; the second was damaged, by a rule on the records' hashes, in about
+    one record of 128: half of those had their first byte overwritten, the other half are gone."""
+    recs = warc.records(table(spark, sf_dir, "pages"))
+    first = materialise(warc.place(recs), "replica")
+    changed = F.sha2(F.concat(F.unhex(F.lit("00")), F.expr("substring(record, 2)")), 256)
+    digests = recs.select(F.sha2("record", 256).alias("digest"), changed.alias("damaged")).where(F.substring("digest", 1, 2) == "00").distinct()
+    second = first.where(F.substring("digest", 1, 2) != "01").join(digests, "digest", "left")
+    second = second.select("file", "offset", "length", F.coalesce("damaged", "digest").alias("digest"))
+    return warc.audit(first, second)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_classifier": op2_quality_classifier, "op5_quality_rules": op5_quality_rules, "op3_near_duplicates": op3_near_duplicates, "op4_token_counts": op4_token_counts, "op6_neighbours": op6_neighbours, "op7_chat": op7_chat, "op8_packing": op8_packing, "op9_mixing": op9_mixing, "op10_warc_fixity": op10_warc_fixity}
 ORACLE = {"op5_quality_rules": oracles.QUALITY_RULES}
