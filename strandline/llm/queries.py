@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,5 +81,17 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(first, second)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_classifier": op2_quality_classifier, "op5_quality_rules": op5_quality_rules, "op3_near_duplicates": op3_near_duplicates, "op4_token_counts": op4_token_counts, "op6_neighbours": op6_neighbours, "op7_chat": op7_chat, "op8_packing": op8_packing, "op9_mixing": op9_mixing, "op10_warc_fixity": op10_warc_fixity}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op5_quality_rules": op5_quality_rules,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op4_token_counts": op4_token_counts,
+    "op6_neighbours": op6_neighbours,
+    "op7_chat": op7_chat,
+    "op8_packing": op8_packing,
+    "op9_mixing": op9_mixing,
+    "op10_warc_fixity": op10_warc_fixity,
+    "pipeline": corpus_pipeline.run,
+}
 ORACLE = {"op5_quality_rules": oracles.QUALITY_RULES}
