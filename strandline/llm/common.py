@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table may be broadcast up to this many rows of a few machine words each; callers count first.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 250_000
 
 _own_dirs: dict[str, str] = {}
 

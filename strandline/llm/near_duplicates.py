@@ -187,10 +187,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tre
     if not across.isEmpty():
         joined = components(across, "classes").select(F.col("node").alias("rep"), F.col("root").alias("wide"))
         linked = linked.join(joined, "rep", "left").select("rep", "links", F.coalesce("wide", "root").alias("root"))
-    classes = reps.join(linked, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.lit(True).alias("some"))
+    # Sets of one row without links need no row here: such a row's class is its own id.
+    known_sets = reps.drop("labels").join(linked, "rep", "left").where("copies > 1 or root is not null")
+    classes = known_sets.select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     found = join_small(base.select("id", "k1", "k2", "n"), classes, ["k1", "k2"], "left")
     mine = F.col("n") > 0
-    known = found.select(F.col("id").alias(id_col), F.when(mine, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.when(mine, F.col("links")).otherwise(F.lit(0)).alias("n_links"))
+    known = found.select(F.col("id").alias(id_col), F.coalesce(F.when(mine, F.col("class_id")), "id").alias("class_id"), F.coalesce(F.when(mine, F.col("links")), F.lit(0)).cast("long").alias("n_links"))
     without = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return known.union(without)
 
