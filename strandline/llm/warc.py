@@ -85,13 +85,13 @@ def tree(found: DataFrame, span: int = SPAN, file_bytes: int = FILE_BYTES, last_
     levels = [materialise(_fold(found, F.col("file"), F.floor(F.col("offset") / span).cast("long"), "offset", "leaf"), "ranges")]
     width = span
     while width < file_bytes + span:  # up to the files' roots; a file's last record may reach beyond its bytes
-        levels.append(_fold(levels[-1], F.col("file"), F.floor(F.col("node") / FANOUT).cast("long"), "node", "hash"))
+        levels.append(materialise(_fold(levels[-1], F.col("file"), F.floor(F.col("node") / FANOUT).cast("long"), "node", "hash"), "ranges"))
         width *= FANOUT
     files = last_file + 1
     while files > 1:
-        levels.append(_fold(levels[-1], F.floor(F.col("file") / FANOUT).cast("long"), F.lit(0).cast("long"), "file", "hash"))
+        levels.append(materialise(_fold(levels[-1], F.floor(F.col("file") / FANOUT).cast("long"), F.lit(0).cast("long"), "file", "hash"), "ranges"))
         files = -(-files // FANOUT)
-    return [levels[0], *(x.persist() for x in levels[1:])]
+    return levels
 
 
 def audit(left: DataFrame, right: DataFrame, span: int = SPAN, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -114,7 +114,7 @@ def audit(left: DataFrame, right: DataFrame, span: int = SPAN, file_bytes: int =
             opened = differing.select(F.col("file").alias("of"), F.col("node").alias("on"))
             x, y = (join_small(z, opened, (file == F.col("of")) & (node == F.col("on")), "left_semi") for z in (x, y))
         both = x.select("file", "node", F.col("hash").alias("h")).join(y, ["file", "node"], "full_outer")
-        differing = both.where(~F.col("h").eqNullSafe(F.col("hash"))).select("file", "node").persist()
+        differing = materialise(both.where(~F.col("h").eqNullSafe(F.col("hash"))).select("file", "node"), "differing")
     opened = differing.select(F.col("file").alias("of"), F.col("node").alias("on"))
     near = (F.col("file") == F.col("of")) & (F.floor(F.col("offset") / span) == F.col("on"))
     x, y = (join_small(z, opened, near, "left_semi") for z in (a, b))
