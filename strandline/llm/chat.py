@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialise
+from strandline.llm.common import bounded_batches, materialise
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _TURN = re.compile(r"<\|im_start\|>((?:[^\n\\]|\\.)*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -61,7 +61,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def paths(conversations: DataFrame) -> DataFrame:
     """(conv_id, path, roles, texts) of each conversation; a path has eight bytes for each turn."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turns = conversations.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
+    turns = bounded_batches(conversations).select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
 
     def walk(frames):
@@ -91,13 +91,13 @@ def format_tree(conversations: DataFrame, tree_chars: int = 1 << 16, loss_role:
     ordered = written.withColumn("chars", chars).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
 
     def emit(frames):
-        tree, used, stack, rows = None, 0, [], []
+        tree, used, ended, stack, rows = None, 0, 0, [], []
         for pdf in frames:
             for conv, roles, texts, path in zip(pdf["conv_id"], pdf["roles"], pdf["texts"], pdf["path"], strict=True):
-                if tree is None or used >= tree_chars:
+                if tree is None or used + ended >= tree_chars:
                     if rows:
                         yield _frame(rows)
-                    tree, used, stack, rows = f"{path.hex()[:16]}-{conv}", 0, [], []
+                    tree, used, ended, stack, rows = f"{path.hex()[:16]}-{conv}", 0, 0, [], []
                 shared = 0
                 while shared < len(stack) and path[8 * shared : 8 * shared + 8] == stack[shared][0]:
                     shared += 1
@@ -116,7 +116,7 @@ def format_tree(conversations: DataFrame, tree_chars: int = 1 << 16, loss_role:
                     stack.append((path[8 * k : 8 * k + 8], segment))
                     used += len(formatted)
                 stack[-1][1]["ends"].append(conv)
-                used += 1  # so that equal conversations end a tree some time
+                ended += 1  # so that equal conversations close a tree some time
         if rows:
             yield _frame(rows)
 

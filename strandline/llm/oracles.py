@@ -53,3 +53,52 @@ WITH split AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept
 FROM base JOIN judged USING (rid)
 """
+
+CHAT = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11)::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT rid, hash(w[i : i + 4]) AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM w)
+), n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid
+), common AS (
+  SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE c >= 0.8 * (p.n + q.n - c)
+), reach(a, b) AS (
+  SELECT rid, rid FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+)
+SELECT x.doc_id, (SELECT min(y.doc_id) FROM reach JOIN w y ON y.rid = reach.b WHERE reach.a = x.rid) AS class_id,
+       (SELECT count(*) FROM link WHERE link.a = x.rid) AS n_links
+FROM w x
+"""
+
+WARC_FIXITY = r"""
+WITH recs AS (
+  SELECT page_id, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS record FROM pages
+), hashed AS (
+  SELECT page_id, record, octet_length(record)::BIGINT AS length, sha256(record) AS digest FROM recs
+), placed AS (
+  SELECT *, coalesce(sum(length) OVER (ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM hashed
+), filed AS (
+  SELECT *, pos // 67108864 AS file, pos - min(pos) OVER (PARTITION BY pos // 67108864) AS offset_ FROM placed
+)
+SELECT file, offset_ AS offset, length, digest, CASE WHEN digest LIKE '00%' THEN sha256(unhex('00' || substr(hex(record), 3))) END AS found_digest,
+       CASE WHEN digest LIKE '00%' THEN 'changed' ELSE 'missing' END AS fault
+FROM filed WHERE digest LIKE '00%' OR digest LIKE '01%'
+"""

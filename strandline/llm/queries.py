@@ -84,9 +84,9 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
-    "op5_quality_rules": op5_quality_rules,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_rules": op5_quality_rules,
     "op6_neighbours": op6_neighbours,
     "op7_chat": op7_chat,
     "op8_packing": op8_packing,
@@ -94,4 +94,9 @@ QUERIES = {
     "op10_warc_fixity": op10_warc_fixity,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op5_quality_rules": oracles.QUALITY_RULES}
+ORACLE = {
+    "op3_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op5_quality_rules": oracles.QUALITY_RULES,
+    "op7_chat": oracles.CHAT,
+    "op10_warc_fixity": oracles.WARC_FIXITY,
+}

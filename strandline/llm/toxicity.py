@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import bounded_batches
+
 #: Words that name a group and say nothing bad of it, by kind.
 IDENTITY_TERMS = {
     "gender": "woman women man men female male girl girls boy boys frau frauen mann männer femme femmes homme hommes mujer mujeres hombre hombres transgender nonbinary",
@@ -52,7 +54,7 @@ def swapped_sentences(text: str | None) -> list[tuple[list[str], list[str]]]:
     return pairs
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], width: int, fairness: float = 10.0, l2: float = 1e-3, steps: int = 300) -> np.ndarray:
+def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], width: int, fairness: float = 100.0, l2: float = 1e-3, steps: int = 300) -> np.ndarray:
     """Weights, the last of them the intercept, by full-batch Adam. rows and pairs: indexes of the words present."""
     w = np.zeros(width + 1)
     flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
@@ -77,9 +79,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 4_000, fairness: float = 10.0, swaps: int = 40_000) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 4_000, fairness: float = 100.0, swaps: int = 40_000) -> tuple[dict[str, float], float]:
     """(weight of each word that has one, intercept), from labelled rows whose crc32(doc_id) mod 5 is not 0."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ids = spark.createDataFrame(chosen.toPandas(), chosen.schema)  # at most ``sample`` rows
@@ -122,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary:
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, score, predicted) of each whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def probability(texts: pa.Array) -> pa.Array:
         weights, intercept = sent.value
