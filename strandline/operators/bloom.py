@@ -63,16 +63,18 @@ def unique_hashes(rows: DataFrame, tables: Sequence[int] = DEFAULT_TABLES, by: S
     return firsts.groupBy(*by, "first_").count().groupBy(*by).agg(F.count(F.lit(1)).alias("unique_kmers"))
 
 
+def _bit_is_set(bitmap: str = "bitmap", bit: str = "bit") -> Column:
+    """Whether the bit is 1, by the hexadecimal digit that holds it: four bits a digit, a byte's lower four last."""
+    digit = F.ascii(F.substring(F.hex(F.substring(bitmap, (F.floor(F.col(bit) / 8) + 1).cast("int"), F.lit(1))), F.when(F.col(bit) % 8 < 4, 2).otherwise(1), F.lit(1)))
+    value = digit - F.when(digit > 57, 55).otherwise(48)
+    return F.floor(value / F.element_at(F.array(*(F.lit(2**k) for k in range(4))), (F.col(bit) % 4 + 1).cast("int"))) % 2 == 1
+
+
 def contains(filters: DataFrame, probes: DataFrame, tables: Sequence[int] = DEFAULT_TABLES, by: Sequence[str] = ("node",), hk: str = "hk") -> DataFrame:
-    """(by, hk, found) of each node of ``filters`` and each distinct hash of ``probes`` (hk): all its bins are set."""
+    """(by, hk) of each node of ``filters`` and each distinct hash of ``probes`` that has all its bins set there."""
     asked = bins(probes.select(hk).distinct(), tables, (), hk).withColumn("bucket", F.bitmap_bucket_number(F.col("bin") + 1)).withColumn("bit", F.bitmap_bit_position(F.col("bin") + 1))
-    byte = F.substring("bitmap", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))
-    is_set = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
-    hits = filters.join(asked, ["tbl", "bucket"]).where(is_set).groupBy(*by, "hk").agg(F.count(F.lit(1)).alias("n"))
-    every = filters.select(*by).distinct().join(F.broadcast(probes.select(F.col(hk).alias("hk")).distinct())) if not by else None
-    if every is None:
-        return hits.select(*by, "hk", (F.col("n") == len(tables)).alias("found")).where("found")
-    return every.join(hits, "hk", "left").select("hk", (F.coalesce("n", F.lit(0)) == len(tables)).alias("found"))
+    hits = filters.join(asked, ["tbl", "bucket"]).where(_bit_is_set()).groupBy(*by, "hk").agg(F.count(F.lit(1)).alias("n"))
+    return hits.where(F.col("n") == len(tables)).select(*by, "hk")
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -69,22 +69,17 @@ def node_bounds(filters: DataFrame, below: DataFrame, queries: DataFrame, tables
 
 
 def tree_find(leaves: DataFrame, queries: DataFrame, threshold: float, tables=bloom.DEFAULT_TABLES, d: int = 2) -> DataFrame:
-    """(query, id, similarity) of the leaves above ``threshold``, found from the root down: one join a level keeps
-    the (query, node) pairs whose bound passes; leaves under them are compared exactly. Similarity only: for
-    containment a node's bound says nothing of its leaves, and ``find`` is the search.
+    """(query, id, similarity) of the leaves above ``threshold`` whose node's bound passes; these are compared exactly.
+
+    A node holds all that its children hold and its least sketch is no larger than theirs, so bounds only fall on
+    the way down: a leaf is reached from the root if and only if its own parent passes, and one join tells it.
+    Similarity only: for containment a node's bound says nothing of its leaves, and ``find`` is the search.
 
     leaves: pos, id, sketch. queries: id, sketch."""
     asked = exploded(queries.select(F.col("id").alias("query"), "sketch")).select("query", "hk")
-    bounds = node_bounds(node_filters(leaves, tables, d), min_n_below(leaves, d), asked, tables).where(F.col("similarity") > threshold).select("node", "query").persist()
-    deepest = leaves.agg(F.max("pos")).first()[0] or 0
-    open_pairs = queries.select(F.col("id").alias("query"), F.lit(0).cast("bigint").alias("node"))
-    reached = open_pairs
-    while deepest > 0:
-        passed = open_pairs.join(bounds, ["node", "query"], "left_semi")
-        open_pairs = passed.select("query", F.explode(children(F.col("node"), d)).alias("node"))
-        reached = reached.union(open_pairs)
-        deepest = (deepest - 1) // d
-    pairs = reached.join(leaves.select(F.col("pos").alias("node"), F.col("id")), "node").select("query", "id").distinct()
+    bounds = node_bounds(node_filters(leaves, tables, d), min_n_below(leaves, d), asked, tables).where(F.col("similarity") > threshold).select("node", "query")
+    below = leaves.select(parent(F.col("pos"), d).alias("node"), "id")
+    pairs = below.join(bounds, "node").select("query", "id").union(below.where("node is null").select("id").join(queries.select(F.col("id").alias("query"))).select("query", "id"))
     return find(leaves.select("id", "sketch"), queries, threshold).join(pairs, ["query", "id"], "left_semi")
 
 
