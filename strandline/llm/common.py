@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: A table may be broadcast up to this many rows of a few machine words each; callers count first.
 BROADCAST_ROWS = 250_000
 
+#: Bytes of an Arrow batch between Spark and Python. Spark's own default, 64 MB, is held several times over by
+#: each task on both sides.
+BATCH_BYTES = 4 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -29,6 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches were bounded to BATCH_BYTES, if they were larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    given = conf.get(key, "64m").lower()
+    if not (given.rstrip("b").isdigit() and 0 < int(given.rstrip("b")) <= BATCH_BYTES):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again: lineage ends there, and a lost
     executor costs no more than the tasks it was running."""

@@ -10,6 +10,7 @@ crosses.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -44,15 +45,12 @@ class Encoder:
 
     def __init__(self, path: str, counts_only: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        ids = [*spec["model"]["vocab"].values()] if isinstance(spec["model"]["vocab"], dict) else [len(spec["model"]["vocab"])]
+        self.dtype = np.dtype("<u2" if max([0, *ids, *(x["id"] for x in spec.get("added_tokens", []))]) < 1 << 16 else "<u4")
         self.counts_only = counts_only
         self.known: dict = {}
         self.core = self.split = None
@@ -62,6 +60,16 @@ class Encoder:
         elif kind == "words":
             self.split = _WORD_SPLIT
 
+    @functools.cached_property
+    def library(self):
+        """Loaded once some text needs it."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.no_padding()
+        library.no_truncation()
+        return library
+
     @staticmethod
     def _ranked(spec: dict):
         """The vocabulary in tiktoken, if its ids are 256 bytes and then its merges in order; else None."""

@@ -36,10 +36,11 @@ def _key(source: str) -> Column:
 
 def _sums(shares: DataFrame, grid: list[float]) -> list[tuple[float, float]]:
     """For each exponent the entropy of the weights, and the most passes of a source for a budget of 1."""
-    p = F.col("p")
-    sums = [x for a in grid for x in (F.sum(F.pow(p, F.lit(a))), F.sum(F.pow(p, F.lit(a)) * F.log(p)), F.max(F.pow(p, F.lit(a - 1))))]
-    row = shares.agg(*(x.alias(f"x{i}") for i, x in enumerate(sums))).first()
-    return [(math.log(row[3 * i]) - a * row[3 * i + 1] / row[3 * i], row[3 * i + 2] / row[3 * i]) for i, a in enumerate(grid)]
+    p, a = F.col("p"), F.col("g.a")
+    points = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("a")) for i, x in enumerate(grid)))
+    each = shares.select("p", F.explode(points).alias("g")).groupBy("g.i", "g.a")
+    rows = each.agg(F.sum(F.pow(p, a)).alias("z"), F.sum(F.pow(p, a) * F.log(p)).alias("l"), F.max(F.pow(p, a - 1)).alias("m")).collect()
+    return [(math.log(r["z"]) - r["a"] * r["l"] / r["z"], r["m"] / r["z"]) for r in sorted(rows, key=lambda r: r["i"])]
 
 
 def _bisect(shares: DataFrame, fine) -> float:

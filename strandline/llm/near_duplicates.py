@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import byte_slices, join_small, materialise, texts_of
+from strandline.llm.common import bounded_batches, byte_slices, join_small, materialise, texts_of
 from strandline.llm.components import components
 from strandline.llm.shingles import min_hashes, mix, shingle_sets
 
@@ -50,7 +50,7 @@ def _keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sketch(docs: DataFrame, trees: int, length: int, words: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, k1, k2, labels): the set's size and names and, for each tree, its prefix of ``length`` in one number."""
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in byte_slices(batches, "text", 1 << 20):

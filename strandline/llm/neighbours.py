@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import join_small, materialise
+from strandline.llm.common import bounded_batches, join_small, materialise
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -56,7 +56,7 @@ def buckets(unit: np.ndarray, table: int, probes: int = 1) -> np.ndarray:
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, dim, raw): the vectors that take part, as bytes of little-endian floats or doubles."""
-    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    kind = bounded_batches(vectors).schema[vector_col].dataType.elementType.simpleString()
     dtype = "<f4" if kind == "float" else "<f8"
     some = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if kind == "float" else "array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

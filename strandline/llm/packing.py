@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import byte_slices, materialise, texts_of, with_bases
+from strandline.llm.common import bounded_batches, byte_slices, materialise, texts_of, with_bases
 from strandline.llm.encoders import encoder
 
 WINDOW = 1024
@@ -26,7 +26,7 @@ WINDOW = 1024
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pid, at, n, wide, ids): ids as bytes, ``at`` ids after the start of partition ``pid``. Not yet written."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {source.schema['id'].dataType.simpleString()}, pid int, at long, n long, wide int, ids binary"
 
     def encode(batches):

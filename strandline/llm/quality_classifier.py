@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import free_name, join_small
+from strandline.llm.common import bounded_batches, byte_slices, free_name, join_small, materialise, texts_of
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -81,32 +81,18 @@ def ngram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[inside], lengths
 
 
-def _pieces(texts: list[str], chars: int = 1 << 20):
-    """Runs of texts of about ``chars`` characters."""
-    run, used = [], 0
-    for t in texts:
-        if run and used + len(t) > chars:
-            yield run
-            run, used = [], 0
-        run.append(t)
-        used += len(t)
-    if run:
-        yield run
-
-
 def count_ngrams(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(code, c) of all n-grams of whole texts: a dense sum in each task, then a sharded sum."""
+    """(code, c) of all n-grams of whole texts: summed up in each task, then by shard."""
 
     def count(batches):
-        total = np.zeros(SYMBOLS**ORDER, np.int32)
-        for batch in batches:
-            for some in _pieces([x for x in batch.column(0).to_pylist() if x]):
-                codes, n = np.unique(ngram_codes(some)[0], return_counts=True)
-                total[codes] += n.astype(np.int32)
-        seen = np.flatnonzero(total)
+        seen, total = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for batch in byte_slices(batches, "text", 1 << 20):
+            codes, n = np.unique(ngram_codes([x for x in texts_of(batch) if x])[0], return_counts=True)
+            seen, place = np.unique(np.concatenate([seen, codes]), return_inverse=True)
+            total = np.bincount(place, np.concatenate([total, n]), len(seen)).astype(np.int64)
         for at in range(0, len(seen), 1 << 16):
-            some = seen[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], ["code", "c"])
+            some = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(seen[some].astype(np.int32)), pa.array(total[some])], ["code", "c"])
 
     return texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "code int, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
@@ -126,10 +112,11 @@ def train(trusted: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
     Each order's table is bounded by the number of classes to the power of the order, so that what comes to
     the driver is bounded too, however much text was counted."""
     model: dict[str, np.ndarray] = {}
-    counts = count_ngrams(trusted, text_col).persist()
+    counts = materialise(count_ngrams(trusted, text_col), "ngrams")
     orders = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):  # below the highest order an n-gram counts once for each symbol before it
-        orders[n] = orders[n + 1].groupBy((F.col("code") % SYMBOLS**n).alias("code")).agg(F.count(F.lit(1)).alias("c")).persist()
+        orders[n] = orders[n + 1].groupBy((F.col("code") % SYMBOLS**n).alias("code")).agg(F.count(F.lit(1)).alias("c"))
+        orders[n] = materialise(orders[n], "ngrams")
     lower = None
     for n in range(1, ORDER + 1):
         d1, d2, d3 = _discounts(orders[n])
@@ -141,26 +128,36 @@ def train(trusted: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
         if lower is not None:
             joined = joined.join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("below")), "suffix", "left")
             below = F.coalesce("below", F.lit(1.0 / SYMBOLS))
-        lower = joined.select("code", ((F.col("c") - F.col("d")) / F.col("all") + F.col("gamma") * below).alias("p")).persist()
+        lower = joined.select("code", ((F.col("c") - F.col("d")) / F.col("all") + F.col("gamma") * below).alias("p"))
+        lower = materialise(lower, "ngrams")
         for name, frame in ((f"p{n}", lower.select("code", F.col("p").cast("float"))), (f"g{n}", contexts.select(F.col("context").alias("code"), F.col("gamma").cast("float")))):
             found = frame.toArrow()
             model[f"{name}_codes"], model[f"{name}_values"] = (found.column(i).to_numpy() for i in (0, 1))
-    for frame in (*orders.values(), lower):
-        frame.unpersist()
     return model
 
 
 def surprise_table(model: dict[str, np.ndarray]) -> np.ndarray:
-    """The negative log probability of each of the 64^4 n-grams, seen or not."""
+    """The negative log probability, in half precision, of each of the 64^4 n-grams, seen or not."""
     p = np.full(1, 1.0 / SYMBOLS, np.float32)
     for n in range(1, ORDER + 1):
+        codes, values = model[f"p{n}_codes"], model[f"p{n}_values"]
         gamma = np.ones(SYMBOLS ** (n - 1), np.float32)
         gamma[model[f"g{n}_codes"]] = model[f"g{n}_values"]
-        below = np.tile(p, SYMBOLS) if n > 1 else np.full(SYMBOLS, p[0], np.float32)
-        below *= np.repeat(gamma, SYMBOLS)
-        below[model[f"p{n}_codes"]] = model[f"p{n}_values"]
-        p = below
-    return -np.log(np.maximum(p, 1e-12), out=p)
+        if n == 1:
+            p = np.full(SYMBOLS, p[0] * gamma[0], np.float32)
+            p[codes] = values
+            continue
+        order = np.argsort(codes, kind="stable")
+        codes, values = codes[order], values[order]
+        # One first symbol at a time: the backed-off probability of its n-grams is that of their common suffixes.
+        out = np.empty(SYMBOLS**n, np.float16 if n == ORDER else np.float32)
+        for first in range(SYMBOLS):
+            part = p * np.repeat(gamma[first * len(gamma) // SYMBOLS : (first + 1) * len(gamma) // SYMBOLS], SYMBOLS)
+            a, b = np.searchsorted(codes, [first * len(p), (first + 1) * len(p)])
+            part[codes[a:b] - first * len(p)] = values[a:b]
+            out[first * len(p) : (first + 1) * len(p)] = -np.log(np.maximum(part, 1e-12)) if n == ORDER else part
+        p = out
+    return p
 
 
 _tables: dict[int, np.ndarray] = {}
@@ -194,8 +191,8 @@ def surprise(model, text) -> F.col:
 
     def score(texts: pa.Array) -> pa.Array:
         table, totals, numbers = _table_of(model), [], []
-        for some in _pieces([x or "" for x in texts.to_pylist()]):
-            codes, n = ngram_codes(some)
+        for batch in byte_slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", 1 << 20):
+            codes, n = ngram_codes(texts_of(batch))
             run = np.concatenate([[0.0], np.cumsum(table[codes], dtype=np.float64)])
             ends = np.cumsum(n)
             totals.append(run[ends] - run[ends - n])
@@ -203,7 +200,8 @@ def surprise(model, text) -> F.col:
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         return pa.StructArray.from_arrays([pa.array(join(totals, float)), pa.array(join(numbers, np.int64))], fields=list(kind))
 
-    return F.arrow_udf(score, "total double, n long")(text)
+    # Else a filter on the score would be pushed below it, and each text be scored twice.
+    return F.arrow_udf(score, "total double, n long").asNondeterministic()(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.0, prior: float = 64.0, least: int = 50) -> DataFrame:
@@ -211,7 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
     double, n long, limit double, kept boolean>.
 
     docs has doc_id, text and lang; labels has doc_id and quality. See the module for the method."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     trusted = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1").select("doc_id")
     mine = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = join_small(mine, trusted, "doc_id", "left_semi")

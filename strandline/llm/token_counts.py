@@ -13,13 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import byte_slices, texts_of
+from strandline.llm.common import bounded_batches, byte_slices, texts_of
 from strandline.llm.encoders import encoder
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """(``id_col``, n_bytes, n_tokens, over_limit) for each row of ``docs``; over_limit: n_tokens > ``limit``."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long"
 
     def lengths(batches):
