@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm.common import materialise
+from strandline.llm.common import materialise, remove, written
 from strandline.llm.mixing import mixed_documents
 from strandline.llm.near_duplicates import keep_one
 from strandline.llm.packing import pack
@@ -55,8 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, one after the other, over the documents of ``sf_dir``. Once a stage's rows are written, what led
+    to them is removed; the last stage's table stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written(spark)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        remove(spark, [x for x in written(spark)[:-1] if x not in before])
     return docs

@@ -18,6 +18,8 @@ BROADCAST_ROWS = 250_000
 #: each task on both sides.
 BATCH_BYTES = 4 << 20
 
+#: What ``materialise`` wrote, by application.
+_written: dict[str, list[str]] = {}
 _own_dirs: dict[str, str] = {}
 
 
@@ -49,10 +51,25 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """The scratch tables of this application that were not removed, oldest first."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables, through the file system that they are in. No DataFrame that reads one may be in use."""
+    have = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        have.remove(path)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that starts with ``stem`` and that ``df`` hasn't, letters' case aside."""
     taken = {c.lower() for c in df.columns}

@@ -63,7 +63,7 @@ def weights(sizes: DataFrame, entropy: float | None = 0.95, repeats: float = 4.0
     whole = some.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not whole["t"]:
         return some.select("key", "tokens", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("target")), 1.0
-    shares = some.select("key", "tokens", (F.col("tokens") / whole["t"]).alias("p")).persist()
+    shares = some.select("key", "tokens", (F.col("tokens") / whole["t"]).alias("p"))
     most = math.log(whole["n"]) if whole["n"] > 1 else 0.0
     exponent = 0.0 if entropy is None else _bisect(shares, lambda h, _: h <= entropy * most + 1e-12)
     if entropy is not None and exponent >= 1.0 - 1e-6:
@@ -83,17 +83,17 @@ def plan(rows: DataFrame, entropy: float | None, repeats: float, budget: float,
 
     Returns the sources (key, n_blocks), the blocks (key, block, passes, all: whether the last pass takes all
     of it) and the rows (row) that the last pass takes from the blocks that it cuts."""
-    sizes = rows.groupBy("key").agg(F.sum("tokens").alias("size")).persist()
+    sizes = materialise(rows.groupBy("key").agg(F.sum("tokens").alias("size")), "sizes")
     target, _ = weights(sizes.withColumnRenamed("size", "tokens"), entropy, repeats, budget)
     spare = F.when(F.col("size") > 0, F.col("target") % F.col("size")).otherwise(F.lit(0))
     passes = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(F.lit(1)).cast("long")
     n_blocks = F.least(F.ceil(F.greatest(F.col("size"), F.lit(1)) / block_tokens), F.lit(most_blocks)).cast("long")
-    sources = sizes.join(target.select("key", "target"), "key", "left").select("key", n_blocks.alias("n_blocks"), passes.alias("passes"), spare.alias("spare")).persist()
+    sources = materialise(sizes.join(target.select("key", "target"), "key", "left").select("key", n_blocks.alias("n_blocks"), passes.alias("passes"), spare.alias("spare")), "sources")
     dealt = join_small(rows, sources, "key").withColumn("block", block_of(F.col("row"), F.col("n_blocks")))
     totals = dealt.groupBy("key", "block").agg(F.sum("tokens").alias("size"), F.first("passes").alias("passes"), F.first("spare").alias("spare"))
     order = Window.partitionBy("key").orderBy(F.xxhash64("block", F.col("passes") + 1), "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = totals.withColumn("left", F.col("spare") - F.coalesce(F.sum("size").over(order), F.lit(0)))
-    blocks = blocks.select("key", "block", "passes", "left", ((F.col("left") > 0) & (F.col("size") <= F.col("left"))).alias("all")).persist()
+    blocks = materialise(blocks.select("key", "block", "passes", "left", ((F.col("left") > 0) & (F.col("size") <= F.col("left"))).alias("all")), "blocks")
     inside = join_small(dealt.select("key", "block", "row", "tokens"), blocks.where("left > 0 and not all").select("key", "block", "left", "passes"), ["key", "block"])
     before = Window.partitionBy("key", "block").orderBy(F.xxhash64("row", F.col("passes") + 1), "row").rowsBetween(Window.unboundedPreceding, -1)
     taken = inside.withColumn("so_far", F.coalesce(F.sum("tokens").over(before), F.lit(0))).where(F.col("so_far") < F.col("left")).select("row")

@@ -117,7 +117,7 @@ def _meet(queries: DataFrame, candidates: DataFrame, k: int, block: int) -> Data
     """(query_id, vec_id, score) found in common buckets, each bucket in parts of about ``block`` on either side."""
     key = ["dim", "tb"]
     parts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    sizes = parts(candidates, "c_parts").join(parts(queries, "q_parts"), key).persist()
+    sizes = materialise(parts(candidates, "c_parts").join(parts(queries, "q_parts"), key), "parts")
     hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = join_small(queries, sizes, key).select("id", *key, "raw", hashed("q_parts").alias("qp"), every("c_parts").alias("cp"))

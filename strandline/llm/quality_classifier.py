@@ -215,11 +215,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
     known = join_small(mine, trusted, "doc_id", "left_semi")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = _Sent(spark.sparkContext.broadcast(train(known.where(~held))))
-    held_out = known.where(held & (F.length("text") > 0)).select("lang", surprise(model, F.col("text")).alias("s")).persist()
+    held_out = known.where(held & (F.length("text") > 0)).select("lang", surprise(model, F.col("text")).alias("s"))
+    held_out = materialise(held_out, "held-out")
     means = held_out.groupBy("lang").agg((F.sum("s.total") / F.sum("s.n")).alias("mean"), F.count(F.lit(1)).alias("docs"))
     overall = held_out.agg((F.sum("s.total") / F.sum("s.n")).alias("mean"), F.count(F.lit(1)).alias("docs")).first()
     mean_all = float(overall["mean"] or 0.0)
-    means = means.select(F.col("lang").alias("of"), F.when(F.col("docs") >= least, F.col("mean")).otherwise(mean_all).alias("mean")).persist()
+    means = materialise(means.select(F.col("lang").alias("of"), F.when(F.col("docs") >= least, F.col("mean")).otherwise(mean_all).alias("mean")), "means")
 
     def drawn(mean):
         return (F.col("s.total") + prior * mean) / (F.col("s.n") + prior)
@@ -231,7 +232,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
     s, out = free_name(docs, "surprise"), free_name(docs, "quality")
     of_lang, top_of = F.col(f"{s}_limit.mean"), F.col(f"{s}_limit.top")
     tops = scored.groupBy("lang").agg(F.first("mean").alias("mean"), limit, F.count(F.lit(1)).alias("docs"))
-    tops = tops.select(F.col("lang").alias(f"{s}_lang"), F.struct("mean", F.when(F.col("docs") >= least, F.col("limit")).otherwise(F.lit(all_limit)).alias("top")).alias(f"{s}_limit")).persist()
+    tops = tops.select(F.col("lang").alias(f"{s}_lang"), F.struct("mean", F.when(F.col("docs") >= least, F.col("limit")).otherwise(F.lit(all_limit)).alias("top")).alias(f"{s}_limit"))
+    tops = materialise(tops, "limits")
     judged = join_small(docs.withColumn(s, surprise(model, F.col("text").cast("string"))), tops, F.col("lang").cast("string").eqNullSafe(F.col(f"{s}_lang")), "left")
     total, n = F.col(f"{s}.total"), F.col(f"{s}.n")
     score = (total + prior * F.coalesce(of_lang, F.lit(mean_all))) / (n + prior)

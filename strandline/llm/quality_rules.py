@@ -94,8 +94,8 @@ def fences(some: DataFrame, *by: str, spread: int = 3) -> DataFrame:
 
 def group_fences(values: DataFrame, least: int = 100, spread: int = 3) -> DataFrame:
     """(lang, source, one fence for each measure), with the fallback of small groups resolved."""
-    own = sketches(values).persist()
-    of_lang = merge_sketches(own, "lang").persist()
+    own = materialise(sketches(values), "sketches")
+    of_lang = merge_sketches(own, "lang")
     everything = fences(merge_sketches(of_lang), spread=spread).first()
     by_lang = fences(of_lang, "lang", spread=spread).select(F.col("lang").alias("l"), F.col("docs").alias("l_docs"), *(F.col(m).alias(f"l_{m}") for m in MEASURES))
     by_group = fences(own, "lang", "source", spread=spread)
@@ -109,7 +109,8 @@ def _judge(table: DataFrame, rules: str, out: str, least: int, spread: int) -> D
     """``table`` with the boolean ``out``; ``rules`` names its struct of measures."""
     key = lambda c: F.col(c).cast("string")
     values = table.select(key("lang").alias("lang"), key("source").alias("source"), *(F.col(f"{rules}.{m}").alias(m) for m in MEASURES))
-    limits = group_fences(values, least, spread).select(F.struct("lang", "source").alias(f"{out}_of"), F.struct(*MEASURES).alias(f"{out}_at")).persist()
+    limits = group_fences(values, least, spread).select(F.struct("lang", "source").alias(f"{out}_of"), F.struct(*MEASURES).alias(f"{out}_at"))
+    limits = materialise(limits, "fences")
     near = key("lang").eqNullSafe(F.col(f"{out}_of.lang")) & key("source").eqNullSafe(F.col(f"{out}_of.source"))
     joined = join_small(table, limits, near, "left")
     within: Column = ~F.col(f"{rules}.base_failed")
