@@ -32,7 +32,7 @@ def normal_mode(num: int, max_hash: int) -> tuple[int, int]:
 
 def max_hash_of(scaled: int | None) -> int:
     """The threshold that keeps one hash in ``scaled``; 0 (off) for none."""
-    return (1 << 64) // scaled if scaled else 0
+    return min((1 << 64) - 1, (1 << 64) // scaled) if scaled else 0
 
 
 def cast_sketch(mins: Column, abunds: Column | None = None, num: int = DEFAULT_NUM, ksize: int = DEFAULT_KSIZE, is_protein: bool = False, seed: int = SEED, max_hash: int = 0) -> Column:
