@@ -80,6 +80,18 @@ def build(rows: DataFrame, by: Sequence[str], num: int = DEFAULT_NUM, max_hash:
     return grouped.select(*by, cast_sketch(F.col("pairs_.hk"), abunds, num, ksize, is_protein, seed, max_hash).alias("sketch"))
 
 
+def build_arrays(rows: DataFrame, by: Sequence[str], hashes: str, num: int = DEFAULT_NUM, max_hash: int = 0, **parameters) -> DataFrame:
+    """As ``build``, without counts, of rows that each hold an array of hashes. What a row adds to its group's
+    smallest is among its own smallest, so each row is cut before it is taken apart and shuffled."""
+    num, max_hash = normal_mode(num, max_hash)
+    mine = F.sort_array(F.array_distinct(F.col(hashes)))
+    if max_hash:
+        mine = F.filter(F.col(hashes), lambda x: x <= F.lit(bias_of(max_hash)))
+    elif num < 1 << 31:
+        mine = F.slice(mine, 1, num)
+    return build(rows.select(*by, F.explode(mine).alias("hk")), by, num, max_hash, **parameters)
+
+
 def exploded(sketches: DataFrame, sketch: str = "sketch") -> DataFrame:
     """The other columns with a row (hk, abund) for each hash; abund is 1 where none is tracked."""
     others = [F.col(f"`{c}`") for c in sketches.columns if c != sketch]

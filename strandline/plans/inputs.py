@@ -20,16 +20,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
-def shingles(df: DataFrame, by: list[str], text: str = "text", n: int = 3) -> DataFrame:
-    """(by, shingle): every run of ``n`` words."""
+def shingled(df: DataFrame, by: list[str], text: str = "text", n: int = 3) -> DataFrame:
+    """(by, hashes): for each row the portable hashes of its runs of ``n`` words."""
     w = df.select(*by, words(F.col(text)).alias("w")).where(F.size("w") >= n)
-    runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.concat_ws(" ", *(F.get("w", i + k) for k in range(n))))
-    return w.select(*by, F.explode(runs).alias("shingle"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: portable_hash(F.concat_ws(" ", *(F.get("w", i + k) for k in range(n)))))
+    return w.select(*by, runs.alias("hashes"))
 
 
 def hashed(df: DataFrame, by: list[str], text: str = "text", n: int = 3) -> DataFrame:
     """(by, hk) of every shingle, under the portable hash."""
-    return shingles(df, by, text, n).select(*by, portable_hash(F.col("shingle")).alias("hk"))
+    return shingled(df, by, text, n).select(*by, F.explode("hashes").alias("hk"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +37,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), ["id"])
 
 
+def _sketches(df: DataFrame, by: list[str], **options) -> DataFrame:
+    if options.get("track_abundance"):
+        return sketch.build(hashed(df, by), by, **options)
+    return sketch.build_arrays(shingled(df, by), by, "hashes", **options)
+
+
 def document_sketches(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return sketch.build(documents(spark, sf_dir), ["id"], **({"num": NUM} | options))
+    return _sketches(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), ["id"], **({"num": NUM} | options))
 
 
 def scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +52,13 @@ def scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_sketches(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    items = hashed(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id"), ["id"])
-    return sketch.build(items, ["id"], **({"num": NUM} | options))
+    return _sketches(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id"), ["id"], **({"num": NUM} | options))
 
 
 def group_sketches(spark: SparkSession, sf_dir: str, num: int = 200) -> DataFrame:
     """(id, name, sketch) of each language and source, numbered by name."""
     docs = table(spark, sf_dir, "documents").withColumn("name", F.concat_ws("-", "lang", "source"))
-    built = sketch.build(hashed(docs, ["name"]), ["name"], num=num)
+    built = _sketches(docs, ["name"], num=num)
     places = docs.select("name").distinct().groupBy().agg(F.array_sort(F.collect_set("name")).alias("all_"))
     numbered = places.select(F.posexplode("all_").alias("id", "name"))
     return built.join(F.broadcast(numbered), "name").select(F.col("id").cast("long").alias("id"), "name", "sketch")

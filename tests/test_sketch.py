@@ -103,3 +103,10 @@ def test_search_is_strict_and_ordered(spark):
         search.find_in({}, query)
     with pytest.raises(ValueError):
         compare.jaccard_pairs(made, threshold=-1)
+
+
+def test_arrays_are_cut_before_the_shuffle(spark):
+    rows = spark.createDataFrame([("a", [5, 1, 1, None, 9]), ("a", [2, 1]), ("b", []), ("c", None)], "id string, h array<bigint>")
+    for options in ({"num": 2}, {"num": 0, "max_hash": (1 << 63) + 5}):
+        whole = sketch.build(rows.select("id", F.explode("h").alias("hk")), ["id"], **options)
+        assert sketch.build_arrays(rows, ["id"], "h", **options).collect() == whole.collect()
