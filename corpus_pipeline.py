@@ -59,6 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     to them is removed; the last stage's table stays."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written(spark)
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), "zstd")
         remove(spark, [x for x in written(spark)[:-1] if x not in before])
     return docs

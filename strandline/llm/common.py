@@ -45,9 +45,10 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again: lineage ends there, and a lost
-    executor costs no more than the tasks it was running."""
+    executor costs no more than the tasks it was running. ``zstd`` is for tables of texts: its writers hold memory
+    outside the heap that many small files would add up."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema

@@ -109,7 +109,7 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float = 4.0, bud
     block, block_order and doc_order. Sorted by pass, block_order and doc_order a source is permuted in blocks."""
     m = free_name(docs, "mix")
     own = F.struct(_key("source").alias("key"), word_count("text").alias("tokens"), F.monotonically_increasing_id().alias("row"))
-    written = materialise(docs.withColumn(m, own), "mixing")
+    written = materialise(docs.withColumn(m, own), "mixing", "zstd")
     sources, blocks, taken = plan(written.select(f"{m}.*"), entropy, repeats, budget, block_tokens)
     named = lambda df: df.select(*(F.col(c).alias(f"{m}_{c}") for c in df.columns))
     at = F.col

@@ -51,7 +51,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
     ids: the piece's ids as little-endian unsigned 32-bit numbers. ``start`` counts the document's ids before
     the piece, ``offset`` the sequence's."""
-    encoded = materialise(encode_documents(docs, tokenizer_path, end_id, id_col, text_col), "packing")
+    encoded = materialise(encode_documents(docs, tokenizer_path, end_id, id_col, text_col), "packing", "zstd")
     totals = encoded.groupBy("pid").agg(F.sum("n").alias("total"))
     placed = with_bases(encoded, totals, "total", "base").select("id", (F.col("base") + F.col("at")).alias("place"), "n", "wide", "ids")
     schema = f"id {encoded.schema['id'].dataType.simpleString()}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"

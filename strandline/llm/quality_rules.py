@@ -129,5 +129,5 @@ def apply_rules(docs: DataFrame, least: int = 100, spread: int = 3, least_words:
 def keep_by_rules(docs: DataFrame, least: int = 100, spread: int = 3, least_words: int = 50) -> DataFrame:
     """The documents that pass, with their own columns. They are written once with their measures and read twice."""
     rules, kept = free_name(docs, "rules"), free_name(docs, "kept")
-    written = materialise(measured(docs, rules, least_words), "rules")
+    written = materialise(measured(docs, rules, least_words), "rules", "zstd")
     return _judge(written, rules, kept, least, spread).where(F.col(kept)).drop(rules, kept)
