@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,12 @@ for _i, _a in enumerate(CODON_BASES):
 _AMINO = np.frombuffer(AMINO_ACIDS.encode(), np.uint8)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row: bound to a lambda's variable, it can't be put into the body of a
+    lambda in ``f``, where it would be computed anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ascii_upper(seq: Column) -> Column:
     """Upper case of ASCII letters only; lengths never change."""
     return F.translate(seq, string.ascii_lowercase, string.ascii_uppercase)
@@ -34,8 +41,12 @@ def ascii_upper(seq: Column) -> Column:
 
 def kmers(seq: Column, k: int) -> Column:
     """All windows of ``k`` characters; none if the text is shorter."""
-    windows = F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i, F.lit(k)))
-    return F.when(F.length(seq) >= k, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(s: Column) -> Column:
+        all_of = F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))
+        return F.when(F.length(s) >= k, all_of).otherwise(F.array().cast("array<string>"))
+
+    return once(seq, windows)
 
 
 def is_dna(word: Column) -> Column:
@@ -56,9 +67,13 @@ def canonical(kmer: Column) -> Column:
 def amino_acids(seq: Column) -> Column:
     """Codons of three translated; an unknown codon is skipped and the chain closes; an incomplete tail is dropped."""
     table = F.create_map(*(F.lit(x) for pair in CODONS.items() for x in pair))
-    places = F.sequence(F.lit(0), F.floor(F.length(seq) / 3).cast("int") - 1)
-    found = F.filter(F.transform(places, lambda i: F.element_at(table, F.substring(seq, i * 3 + 1, F.lit(3)))), lambda x: x.isNotNull())
-    return F.when(F.length(seq) >= 3, F.array_join(found, "")).otherwise(F.lit(""))
+
+    def chain(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor(F.length(s) / 3).cast("int") - 1)
+        found = F.filter(F.transform(places, lambda i: F.element_at(table, F.substring(s, i * 3 + 1, F.lit(3)))), lambda x: x.isNotNull())
+        return F.when(F.length(s) >= 3, F.array_join(found, "")).otherwise(F.lit(""))
+
+    return once(seq, chain)
 
 
 def six_frames(seq: Column) -> Column:

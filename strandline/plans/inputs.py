@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.hashing import portable_hash
+from strandline.functions.sequence import once
 from strandline.operators import sketch
 
 NUM, SCALED_TOP = 100, 1 << 56
@@ -22,9 +23,12 @@ def words(text: Column) -> Column:
 
 def shingled(df: DataFrame, by: list[str], text: str = "text", n: int = 3) -> DataFrame:
     """(by, hashes): for each row the portable hashes of its runs of ``n`` words."""
-    w = df.select(*by, words(F.col(text)).alias("w")).where(F.size("w") >= n)
-    runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: portable_hash(F.concat_ws(" ", *(F.get("w", i + k) for k in range(n)))))
-    return w.select(*by, runs.alias("hashes"))
+
+    def runs(w: Column) -> Column:
+        all_of = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: portable_hash(F.concat_ws(" ", *(F.get(w, i + k) for k in range(n)))))
+        return F.when(F.size(w) >= n, all_of).otherwise(F.array().cast("array<bigint>"))
+
+    return df.select(*by, once(words(F.col(text)), runs).alias("hashes"))
 
 
 def hashed(df: DataFrame, by: list[str], text: str = "text", n: int = 3) -> DataFrame:
