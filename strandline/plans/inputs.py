@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files make fewer partitions than there are; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def words(text: Column) -> Column:
     """Lower-case words of ASCII letters and digits."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
@@ -28,7 +34,7 @@ def shingled(df: DataFrame, by: list[str], text: str = "text", n: int = 3) -> Da
         all_of = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: portable_hash(F.concat_ws(" ", *(F.get(w, i + k) for k in range(n)))))
         return F.when(F.size(w) >= n, all_of).otherwise(F.array().cast("array<bigint>"))
 
-    return df.select(*by, once(words(F.col(text)), runs).alias("hashes"))
+    return spread(df.select(*by, text)).select(*by, once(words(F.col(text)), runs).alias("hashes"))
 
 
 def hashed(df: DataFrame, by: list[str], text: str = "text", n: int = 3) -> DataFrame:
