@@ -1,15 +1,14 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The n-grams are of four characters over 64 classes, so that each order's table has a proven bound (64^4 rows)
-whatever the corpus, and a made-up or rare word is judged by its shape. Counts are taken from the whole text
-of every trusted document: each task adds up its own, and the sums are sharded by n-gram. The model's orders
-are then put together by joins of those sharded counts: each n-gram with the counts of its context and with
-the probability of its suffix one order down. A document's score is the mean negative log probability of its
-characters, drawn towards its language's mean by ``prior`` characters so that a short text isn't judged on a
-few letters; its perplexity is the exponential.
+The n-grams are of five whole code points (``language_model``): every script, letter case and digit is told apart,
+and the tables grow with the text. Counts are taken from the whole text of every trusted document and stay sharded
+by n-gram; the documents' n-grams get their probabilities by joins with those tables. A document's score is the mean
+negative log probability of its characters, drawn towards its language's mean by ``prior`` characters so that a
+short text isn't judged on a few letters; its perplexity is the exponential.
 
 Trusted text is split by crc32 of the id: four fifths give counts, one fifth gives each language its own
-limit, the ``quantile`` of its scores plus ``slack`` of the distance between that and their median. Languages
+limit, the ``quantile`` of its scores plus ``slack`` of the distance between that and their median (with a slack of
+0 the quantile itself). Languages
 with fewer than ``least`` such documents take the limit of all.
 
 Null and empty texts have no characters: perplexity null, rejected. A null language is a language of its own.
@@ -27,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bounded_batches, byte_slices, free_name, join_small, materialise, texts_of
+from strandline.llm import language_model
+from strandline.llm.common import bounded_batches, byte_slices, free_name, join_small, materialise, remove, texts_of, written
 
+# A model of 64 classes of characters in one dense table, up to surprise_table. ``classify`` doesn't use it.
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
 
@@ -97,15 +98,6 @@ def count_ngrams(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "code int, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """The three discounts of one order, from the numbers of n-grams counted once to four times."""
-    row = counts.agg(*(F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-    n = [0.0, *(float(row[f"n{k}"] or 0) for k in (1, 2, 3, 4))]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
-    usual = (0.5, 0.75, 0.9)
-    return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) if n[k] and n[k + 1] else usual[k - 1] for k in (1, 2, 3)]
-
-
 def train(trusted: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
     """The model's seen n-grams with their probabilities and seen contexts with their backoff weights, by order.
 
@@ -119,7 +111,7 @@ def train(trusted: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
         orders[n] = materialise(orders[n], "ngrams")
     lower = None
     for n in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(orders[n])
+        d1, d2, d3 = language_model.discounts(orders[n])
         discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         grams = orders[n].select("code", F.shiftright("code", BITS).alias("context"), (F.col("code") % SYMBOLS ** (n - 1)).alias("suffix"), "c", discount.alias("d"))
         contexts = grams.groupBy("context").agg(F.sum("c").alias("all"), (F.sum("d") / F.sum("c")).alias("gamma"))
@@ -160,63 +152,28 @@ def surprise_table(model: dict[str, np.ndarray]) -> np.ndarray:
     return p
 
 
-_tables: dict[int, np.ndarray] = {}
-
-
-def _table_of(model) -> np.ndarray:
-    """A worker keeps the table of the last broadcast model."""
-    if model.id not in _tables:
-        _tables.clear()
-        _tables[model.id] = surprise_table(model.value)
-    return _tables[model.id]
-
-
-class _Sent:
-    """A broadcast with the number that tells models apart in a worker."""
-
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
-def surprise(model, text) -> F.col:
-    """struct<total double, n long>: the summed negative log probability and number of a text's characters."""
-    kind = pa.struct([("total", pa.float64()), ("n", pa.int64())])
-
-    def score(texts: pa.Array) -> pa.Array:
-        table, totals, numbers = _table_of(model), [], []
-        for batch in byte_slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", 1 << 20):
-            codes, n = ngram_codes(texts_of(batch))
-            run = np.concatenate([[0.0], np.cumsum(table[codes], dtype=np.float64)])
-            ends = np.cumsum(n)
-            totals.append(run[ends] - run[ends - n])
-            numbers.append(n)
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.StructArray.from_arrays([pa.array(join(totals, float)), pa.array(join(numbers, np.int64))], fields=list(kind))
-
-    # Else a filter on the score would be pushed below it, and each text be scored twice.
-    return F.arrow_udf(score, "total double, n long").asNondeterministic()(text)
-
-
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.0, prior: float = 64.0, least: int = 50) -> DataFrame:
     """``docs`` with a last column ``quality`` (or, if taken, ``quality_`` and so on) more: struct<perplexity
     double, n long, limit double, kept boolean>.
 
     docs has doc_id, text and lang; labels has doc_id and quality. See the module for the method."""
     spark = bounded_batches(docs).sparkSession
+    before = written(spark)
     trusted = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1").select("doc_id")
     mine = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = join_small(mine, trusted, "doc_id", "left_semi")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    model = _Sent(spark.sparkContext.broadcast(train(known.where(~held))))
-    held_out = known.where(held & (F.length("text") > 0)).select("lang", surprise(model, F.col("text")).alias("s"))
-    held_out = materialise(held_out, "held-out")
+    model = language_model.train(known.where(~held))
+    s, out, t, block = (free_name(docs, x) for x in ("surprise", "quality", "string", "blockno"))
+    texts = docs
+    if dict(docs.dtypes)["text"] == "string":
+        t = "text"
+    else:
+        texts = docs.withColumn(t, F.col("text").cast("string"))
+    judged = materialise(language_model.score(model, texts, t, s, block).select(*(F.col(f"`{c}`") for c in docs.columns), s), "scored", "zstd")
+    remove(spark, [x for x in written(spark)[:-1] if x not in before])
+    held_out = join_small(judged.where(held & (F.col(f"{s}.n") > 0)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col(s).alias("s")), trusted, "doc_id", "left_semi")
+    held_out = materialise(held_out.select("lang", "s"), "held-out")
     means = held_out.groupBy("lang").agg((F.sum("s.total") / F.sum("s.n")).alias("mean"), F.count(F.lit(1)).alias("docs"))
     overall = held_out.agg((F.sum("s.total") / F.sum("s.n")).alias("mean"), F.count(F.lit(1)).alias("docs")).first()
     mean_all = float(overall["mean"] or 0.0)
@@ -229,12 +186,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
     q = lambda p: F.percentile_approx("score", F.lit(p), F.lit(10000))
     limit = (q(quantile) + slack * (q(quantile) - q(0.5))).alias("limit")
     all_limit = scored.agg(limit).first()["limit"]
-    s, out = free_name(docs, "surprise"), free_name(docs, "quality")
     of_lang, top_of = F.col(f"{s}_limit.mean"), F.col(f"{s}_limit.top")
     tops = scored.groupBy("lang").agg(F.first("mean").alias("mean"), limit, F.count(F.lit(1)).alias("docs"))
     tops = tops.select(F.col("lang").alias(f"{s}_lang"), F.struct("mean", F.when(F.col("docs") >= least, F.col("limit")).otherwise(F.lit(all_limit)).alias("top")).alias(f"{s}_limit"))
     tops = materialise(tops, "limits")
-    judged = join_small(docs.withColumn(s, surprise(model, F.col("text").cast("string"))), tops, F.col("lang").cast("string").eqNullSafe(F.col(f"{s}_lang")), "left")
+    judged = join_small(judged, tops, F.col("lang").cast("string").eqNullSafe(F.col(f"{s}_lang")), "left")
     total, n = F.col(f"{s}.total"), F.col(f"{s}.n")
     score = (total + prior * F.coalesce(of_lang, F.lit(mean_all))) / (n + prior)
     top = F.coalesce(top_of, F.lit(float("inf") if all_limit is None else all_limit))
