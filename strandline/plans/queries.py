@@ -46,6 +46,13 @@ def murmur_words(spark: SparkSession, d: str) -> DataFrame:
     return words.where("length(word) <= 15").select("word", _hash_text(murmur64_column(F.col("word"))).alias("hash"))
 
 
+@query
+def murmur_long_words(spark: SparkSession, d: str) -> DataFrame:
+    """The words that ``murmur_words``, whose SQL hashes 15 bytes at most, leaves out."""
+    words = inputs.table(spark, d, "documents").select(F.explode(inputs.words(F.col("text"))).alias("word")).distinct()
+    return words.where("length(word) > 15").select("word", _hash_text(murmur64_column(F.col("word"))).alias("hash"))
+
+
 @query
 def murmur_kmers_21(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs.dna(spark, d).select("id", F.explode(sequence.sequence_hashes(F.col("seq"), 21)).alias("hk"))
