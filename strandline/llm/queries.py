@@ -74,10 +74,10 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     one record of 128: half of those had their first byte overwritten, the other half are gone."""
     recs = warc.records(table(spark, sf_dir, "pages"))
     first = materialise(warc.place(recs), "replica")
-    changed = F.sha2(F.concat(F.unhex(F.lit("00")), F.expr("substring(record, 2)")), 256)
-    digests = recs.select(F.sha2("record", 256).alias("digest"), changed.alias("damaged")).where(F.substring("digest", 1, 2) == "00").distinct()
-    second = first.where(F.substring("digest", 1, 2) != "01").join(digests, "digest", "left")
-    second = second.select("file", "offset", "length", F.coalesce("damaged", "digest").alias("digest"))
+    damaged = F.concat(F.unhex(F.lit("00")), F.expr("substring(record, 2)"))
+    copy = recs.withColumn("written", F.sha2("record", 256)).where(F.substring("written", 1, 2) != "01")
+    copy = copy.withColumn("record", F.when(F.substring("written", 1, 2) == "00", damaged).otherwise(F.col("record")))
+    second = warc.place_copy(first, copy)
     return warc.audit(first, second)
 
 

@@ -62,6 +62,14 @@ def place(recs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     return join_small(placed, starts, "file").select("page_id", "file", (F.col("global") - F.col("start")).alias("offset"), "length", "digest")
 
 
+def place_copy(first: DataFrame, copy: DataFrame) -> DataFrame:
+    """(file, offset, length, digest) of a second replica's records, hashed from their own bytes, at the places that
+    ``first`` (from ``place``) gave them. copy: page_id, written (the digest of what was once written), record."""
+    read = copy.select(F.col("page_id").alias("of"), "written", F.octet_length("record").cast("long").alias("found"), F.sha2("record", 256).alias("read")).distinct()
+    placed = first.join(read, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("written")))
+    return placed.select("file", "offset", F.col("found").alias("length"), F.col("read").alias("digest"))
+
+
 def _hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
