@@ -24,14 +24,21 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or one of our own where the session names none."""
+    """The folder of ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``. Where neither is set a
+    local master, whose executors are this machine, gets a temporary folder, and a cluster a folder in its
+    warehouse, which its executors share."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
+    set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_before.isDefined():
+        return set_before.get()
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="strandline-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
+        if spark.sparkContext.master.startswith("local"):
+            _own_dirs[app] = tempfile.mkdtemp(prefix="strandline-")
+        else:
+            _own_dirs[app] = f"{spark.conf.get('spark.sql.warehouse.dir')}/strandline-{app}"
     return _own_dirs[app]
 
 
@@ -57,6 +64,17 @@ def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def materialise_buckets(df: DataFrame, tag: str, column: str, buckets: int) -> DataFrame:
+    """As ``materialise``, in buckets of ``column``: what is grouped or joined by that column later needs no shuffle of
+    this table. It is a table of the session's catalog, of which ``remove`` drops the name too."""
+    spark = df.sparkSession
+    name = f"strandline_{tag}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{name}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def written(spark: SparkSession) -> list[str]:
     """The scratch tables of this application that were not removed, oldest first."""
     return list(_written.get(spark.sparkContext.applicationId, []))
@@ -66,6 +84,9 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables, through the file system that they are in. No DataFrame that reads one may be in use."""
     have = _written.get(spark.sparkContext.applicationId, [])
     for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        if name.startswith("strandline_"):
+            spark.sql(f"drop table if exists `{name}`")
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         have.remove(path)

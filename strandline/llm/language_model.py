@@ -1,182 +1,316 @@
 """A modified Kneser-Ney model of code points whose tables are sharded by n-gram and grow with the text.
 
-An n-gram is a string of up to ``ORDER`` whole code points, so every script is told apart and a window reaches over
-the ends of words. Each order's counts, contexts and probabilities are tables of their own, never gathered
-anywhere. Below the unigrams all code points there are get an equal share.
-
-To score texts they are first put into blocks of BLOCK_BYTES. Each block names its different n-grams once; the
-different ones of all blocks get their probabilities by joins with the model's tables, order by order; and
-each block gets its answers back and adds them up text by text. What is shuffled is the different n-grams
-of a block, not every occurrence.
+An n-gram is ``ORDER`` whole code points, so every script is told apart and a window reaches over the ends of
+words. Each order's counts, contexts and probabilities are tables of their own, never gathered anywhere. Below
+the unigrams all code points there are get an equal share.
+
+To score texts they are first put into blocks of BLOCK_BYTES, written in buckets of blocks. Each block names its
+different n-grams once, packed and dealt to shards by their hash. The different n-grams of a shard get their
+probabilities by joins with the model's tables, order by order; the shard answers each block that asked; and
+each block adds its answers up text by text where it lies, as its bucket needs no shuffle. What is shuffled are the
+different n-grams of a block at two or three bytes each, neither texts nor every occurrence.
+
+In a block n-grams are told apart by a hash of 64 bits: two of a million would share one in a block of 10^7.
+The model itself has n-grams as strings.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import byte_slices, materialise, remove, texts_of, written
+from strandline.llm.common import byte_slices, materialise, materialise_buckets, remove, texts_of, written
 
 ORDER = 5
 #: Stands before a text. It is no character; a text that has it all the same counts it as the start of one.
 START = "\U0010ffff"
 CODE_POINTS = 0x110000
 BLOCK_BYTES = 16 << 20
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: A shard answers about so many blocks' worth of n-grams.
+BLOCKS_A_SHARD = 4
+#: Fixed value: the odd multiplier of the n-grams' hash.
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def windows(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """For each character of all texts the place of its n-gram in the list of different ones; that list; and the
-    number of characters of each text."""
+def _points(texts: list[str]) -> np.ndarray:
+    """The code points of all texts, ORDER - 1 starts before each."""
     pad = START * (ORDER - 1)
-    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each n-gram, whose code points stand one in each of ``columns``."""
+    out = np.empty(len(columns[0]), np.uint64)
+    for at in range(0, len(out), 1 << 15):  # as much as stays in the cache
+        h = columns[0][at : at + (1 << 15)].astype(np.uint64)
+        for points in columns[1:]:
+            h *= _MULTIPLIER
+            h += points[at : at + (1 << 15)]
+        h ^= h >> np.uint64(32)
+        np.multiply(h, _MULTIPLIER, out=out[at : at + (1 << 15)])
+    return out
+
+
+def _ngrams(texts: list[str], spelt: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each character of all texts the place of its n-gram in the list of different ones; their hashes; their
+    code points, a row each (if ``spelt``); and the number of characters of each text."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     if not lengths.sum():
-        return np.zeros(0, np.int64), [], lengths
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, ORDER), np.uint32), lengths
+    points = _points(texts)
     first = np.arange(lengths.sum()) + np.repeat(np.arange(len(texts)) * (ORDER - 1), lengths)
-    # The numbers of two shorter runs, which may overlap, make that of a longer one: exact, and each below 2^32.
-    codes = pd.factorize(points)[0]
-    width = 1
-    pairs = codes
-    while width < ORDER:
-        step = min(width, ORDER - width)
-        n = len(points) - width - step + 1
-        pairs = pd.factorize((pairs[:n].astype(np.int64) << 32) | pairs[step : step + n])[0]
-        width += step
-    which, distinct = pd.factorize(pairs[first])
+    n = len(points) - ORDER + 1
+    which, distinct = pd.factorize(_hashes([points[k : k + n] for k in range(ORDER)])[first])
+    if not spelt:
+        return which, distinct, np.zeros((0, ORDER), np.uint32), lengths
     places = np.empty(len(distinct), np.int64)
     places[which[::-1]] = first[::-1]
-    flat = points[(places[:, None] + np.arange(ORDER)).ravel()].tobytes().decode("utf-32-le", "surrogatepass")
-    return which, [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)], lengths
+    return which, distinct, points[places[:, None] + np.arange(ORDER)], lengths
+
+
+def _strings(points: np.ndarray) -> list[str]:
+    flat = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
+
+
+def _rows(grams: list[str]) -> np.ndarray:
+    """The code points of n-grams of ORDER each."""
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER)
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """For each character of all texts the place of its n-gram in the list of different ones; that list; and the
+    number of characters of each text."""
+    which, _, points, lengths = _ngrams(texts)
+    return which, _strings(points), lengths
+
+
+class Gathered:
+    """The different n-grams of texts that come slice by slice, with how often each occurred."""
+
+    def __init__(self):
+        self.hashes, self.points, self.counts = [], [], []
+
+    def add(self, texts: list[str]) -> None:
+        which, hashes, points, _ = _ngrams([x for x in texts if x])
+        if len(hashes):
+            self.hashes.append(hashes)
+            self.points.append(points)
+            self.counts.append(np.bincount(which, minlength=len(hashes)))
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes in order, code points, counts)."""
+        if not self.hashes:
+            return np.zeros(0, np.uint64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+        hashes, at, where = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
+        return hashes, np.concatenate(self.points)[at], np.bincount(where, np.concatenate(self.counts), len(hashes)).astype(np.int64)
 
 
 def count(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, c) of all n-grams of the highest order: added up by slices of a task, then by shard."""
+    """(gram, c) of all n-grams of the highest order: added up by blocks of a task, then by shard."""
 
     def run(batches):
+        def told(seen):
+            _, points, counts = seen.all()
+            for at in range(0, len(counts), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(_strings(points[at : at + (1 << 16)])), pa.array(counts[at : at + (1 << 16)])], ["gram", "c"])
+
+        seen, used = Gathered(), 0
         for batch in byte_slices(batches, "text", SLICE_BYTES):
-            which, grams, _ = windows([x for x in texts_of(batch) if x])
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.bincount(which, minlength=len(grams)))], ["gram", "c"])
+            texts = texts_of(batch)
+            seen.add(texts)
+            used += sum(map(len, texts))
+            if used >= BLOCK_BYTES:
+                yield from told(seen)
+                seen, used = Gathered(), 0
+        yield from told(seen)
 
     rows = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "gram string, c long")
     return rows.groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def discounts(counts: DataFrame) -> list[float]:
+def discounts(n: list[int]) -> list[float]:
     """The three discounts of one order, from the numbers of n-grams counted once to four times."""
-    row = counts.agg(*(F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-    n = [0.0, *(float(row[f"n{k}"] or 0) for k in (1, 2, 3, 4))]
+    n = [0, *n]
     y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
     usual = (0.5, 0.75, 0.9)
     return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) if n[k] and n[k + 1] else usual[k - 1] for k in (1, 2, 3)]
 
 
-def train(trusted: DataFrame, text_col: str = "text") -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1 on: (gram, own: its discounted share of its context) and (context, gamma)."""
+def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(gram, context, own, gamma, order) of each n-gram of each order: its discounted share of its context, and the
+    context's weight of the order below."""
     spark, before = trusted.sparkSession, written(trusted.sparkSession)
     orders = {ORDER: materialise(count(trusted, text_col), "ngrams")}
     for n in range(ORDER - 1, 0, -1):  # below the highest order an n-gram counts once for each code point before it
         shorter = orders[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
         orders[n] = materialise(shorter, "ngrams")
-    model, counted = [], [x for x in written(spark) if x not in before]
-    for n in range(1, ORDER + 1):
-        d1, d2, d3 = discounts(orders[n])
-        discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        grams = orders[n].select("gram", F.substring("gram", 1, n - 1).alias("context"), "c", discount.alias("d"))
-        contexts = grams.groupBy("context").agg(F.sum("c").alias("all"), (F.sum("d") / F.sum("c")).alias("gamma"))
-        contexts = materialise(contexts, "ngrams")
-        own = grams.join(contexts, "context").select("gram", ((F.col("c") - F.col("d")) / F.col("all")).alias("own"))
-        model.append((materialise(own, "ngrams"), contexts.select("context", "gamma")))
+    counted = [x for x in written(spark) if x not in before]
+    every = functools.reduce(DataFrame.union, [df.select("gram", F.substring("gram", 1, n - 1).alias("context"), "c", F.lit(n).alias("order")) for n, df in orders.items()])
+    rare = {r["order"]: r for r in every.groupBy("order").agg(*(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).collect()}
+    lost = F.lit(None).cast("double")
+    for n in rare:
+        d1, d2, d3 = discounts([rare[n][f"n{k}"] for k in (1, 2, 3, 4)])
+        lost = F.when(F.col("order") == n, F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)).otherwise(lost)
+    context = Window.partitionBy("order", "context")  # at most as many rows as there are code points
+    shares = every.withColumn("d", lost).select("gram", "context", ((F.col("c") - F.col("d")) / F.sum("c").over(context)).alias("own"), (F.sum("d").over(context) / F.sum("c").over(context)).alias("gamma"), "order")
+    model = materialise(shares, "model")
     remove(spark, counted)
     return model
 
 
-def probabilities(model: list[tuple[DataFrame, DataFrame]], grams: DataFrame) -> DataFrame:
-    """(gram, p) of the different n-grams of the highest order in ``grams`` (gram), seen in training or not."""
+def probabilities(model: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, p) of the n-grams of the highest order in ``grams`` (gram, each once), seen in training or not."""
     spark, before = grams.sparkSession, written(grams.sparkSession)
-    asked = {ORDER: materialise(grams.distinct(), "asked")}
-    for n in range(ORDER - 1, 0, -1):
-        asked[n] = materialise(asked[n + 1].select(F.substring("gram", 2, n).alias("gram")).distinct(), "asked")
+    highest = materialise(grams, "asked")
+    shorter = F.explode(F.array(*(F.struct(F.lit(n).alias("order"), F.substring("gram", ORDER + 1 - n, n).alias("gram")) for n in range(1, ORDER))))
+    lower = materialise(highest.select(shorter.alias("a")).select("a.*").distinct(), "asked")
     below = None
-    for n, (own, contexts) in enumerate(model, 1):
-        rows = asked[n].select("gram", F.substring("gram", 1, n - 1).alias("context"), F.substring("gram", 2, n - 1).alias("suffix"))
-        rows = rows.join(own, "gram", "left").join(contexts, "context", "left")
+    for n in range(1, ORDER + 1):
+        rows = (highest if n == ORDER else lower.where(F.col("order") == n)).select("gram", F.substring("gram", 1, n - 1).alias("context"), F.substring("gram", 2, n - 1).alias("suffix"))
+        known = model.where(F.col("order") == n)
+        rows = rows.join(known.select("gram", "own"), "gram", "left").join(known.groupBy("context").agg(F.first("gamma").alias("gamma")), "context", "left")
         if below is None:
             rows = rows.withColumn("below", F.lit(1.0 / CODE_POINTS))
         else:
             rows = rows.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix", "left")
         p = F.coalesce("own", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")
-        below = materialise(rows.select("gram", p.alias("p")), "asked")
+        below = rows.select("gram", p.alias("p"))
+    below = materialise(below, "asked")
     remove(spark, [x for x in written(spark)[:-1] if x not in before])
     return below
 
 
-def in_blocks(docs: DataFrame, block: str, text: str) -> DataFrame:
-    """``docs`` as written, with the long ``block`` last: rows of one task with about BLOCK_BYTES of text."""
+def in_blocks(docs: DataFrame, text: str, block: str, row: str) -> tuple[DataFrame, int]:
+    """``docs`` as written, with two longs last: ``block``, which rows of one task with about BLOCK_BYTES of text
+    share, and ``row``, a number of its own; and about how many blocks there are. Little text makes smaller blocks, two a core."""
+
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    wide = min(max(size // (2 * docs.sparkSession.sparkContext.defaultParallelism), SLICE_BYTES), BLOCK_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        base, used = TaskContext.get().partitionId() << 32, 0
+        base, used, at = TaskContext.get().partitionId(), 0, 0
         for batch in byte_slices(batches, text, SLICE_BYTES):
-            number = base + used // BLOCK_BYTES
+            n = batch.num_rows
+            numbers = [pa.array([(base << 32) + used // wide] * n, pa.int64()), pa.array(np.arange(at, at + n) + (base << 40))]
             used += sum(len(x.encode("utf-8", "surrogatepass")) for x in texts_of(batch, text))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([number] * batch.num_rows, pa.int64())], [*batch.schema.names, block])
+            at += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, *numbers], [*batch.schema.names, block, row])
 
-    kind = T.StructType([*docs.schema.fields, T.StructField(block, T.LongType())])
-    return materialise(docs.mapInArrow(run, kind), "blocks", "zstd")
+    kind = T.StructType([*docs.schema.fields, T.StructField(block, T.LongType()), T.StructField(row, T.LongType())])
+    count = 1 + size // wide
+    return materialise_buckets(docs.mapInArrow(run, kind), "blocks", block, min(count, 100_000)), count
 
 
-def score(model: list[tuple[DataFrame, DataFrame]], docs: DataFrame, text: str, out: str, block: str) -> DataFrame:
-    """``docs``, whose column ``text`` is a string, with a last column ``out``: struct<total double, n long>, the summed
-    negative log probability and number of a text's characters. ``block`` names a column that docs hasn't."""
-    blocks = in_blocks(docs, block, text)
+def _pack(points: np.ndarray) -> bytes:
+    """N-grams, already in the order of their code points, column by column."""
+    return pa.compress(np.ascontiguousarray(points.T, "<u4").tobytes(), "zstd", asbytes=True)
 
-    def name(batches: Iterator[pa.RecordBatch]):
-        seen, of = set(), None
 
-        def told():
-            return pa.RecordBatch.from_arrays([pa.array([of] * len(seen), pa.int64()), pa.array(list(seen), pa.string())], ["block", "gram"])
+def _unpack(raw: bytes, n: int) -> list[np.ndarray]:
+    flat = np.frombuffer(pa.decompress(raw, 4 * ORDER * n, "zstd", asbytes=True), "<u4")
+    return [flat[k * n : (k + 1) * n] for k in range(ORDER)]
 
+
+def _shards(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
+def _asked(blocks: DataFrame, block: str, text: str, shards: int) -> DataFrame:
+    """(shard, block, n, grams): the different n-grams of each block, packed by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        def told(of, seen):
+            hashes, points, _ = seen.all()
+            shard = _shards(hashes, shards)
+            points = points[np.lexsort((*points.T[::-1], shard))]
+            edges = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+            some = np.flatnonzero(np.diff(edges))
+            for at in range(0, len(some), 256):
+                part = some[at : at + 256]
+                packed = [_pack(points[edges[k] : edges[k + 1]]) for k in part]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([of] * len(part), pa.int64()), pa.array((edges[part + 1] - edges[part]).astype(np.int32)), pa.array(packed, pa.binary())], ["shard", "block", "n", "grams"])
+
+        of, seen = None, Gathered()
         for batch in byte_slices(batches, "text", SLICE_BYTES):
             numbers = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if of != numbers[a]:
-                    if seen:
-                        yield told()
-                    seen, of = set(), int(numbers[a])
-                seen.update(windows([x for x in texts_of(batch.slice(a, b - a)) if x])[1])
-        if seen:
-            yield told()
-
-    asked = blocks.select(F.col(block).alias("block"), F.col(text).alias("text")).mapInArrow(name, "block long, gram string")
-    asked = materialise(asked, "asked")  # a block that two tasks read may ask twice
-    answers = asked.join(probabilities(model, asked.select("gram")), "gram").select("block", "gram", (-F.log("p")).cast("float").alias("s"))
-    kind = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType([T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())]))])
-    inner = pa.struct([("total", pa.float64()), ("n", pa.int64())])
-    names = docs.columns
+                    if of is not None:
+                        yield from told(of, seen)
+                    of, seen = int(numbers[a]), Gathered()
+                seen.add(texts_of(batch.slice(a, b - a)))
+        if of is not None:
+            yield from told(of, seen)
+
+    rows = blocks.select(F.col(block).alias("block"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, "shard int, block long, n int, grams binary")  # a block that two tasks read may ask twice
+
+
+def _different(asked: pa.Table) -> pa.Table:
+    """(gram) of all requests of a shard, each once."""
+    rows = [_unpack(raw, n) for raw, n in zip(asked.column("grams").to_pylist(), asked.column("n").to_pylist(), strict=True)]
+    columns = [np.concatenate([r[k] for r in rows]) for k in range(ORDER)]
+    at = np.unique(_hashes(columns), return_index=True)[1]
+    return pa.table({"gram": pa.array(_strings(np.stack([c[at] for c in columns], axis=1)), pa.string())})
+
+
+def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """(block, n, grams, surprise) of all requests of a shard; known: gram, p."""
+    hashes = _hashes(list(_rows(known.column("gram").to_pylist()).T)) if known.num_rows else np.zeros(0, np.uint64)
+    order = np.argsort(hashes)
+    hashes, surprise = hashes[order], -np.log(known.column("p").to_numpy()[order]).astype("<f4")
+    values = [surprise[np.searchsorted(hashes, _hashes(_unpack(raw, n)))].tobytes() for raw, n in zip(asked.column("grams").to_pylist(), asked.column("n").to_pylist(), strict=True)]
+    return pa.table([asked.column("block"), asked.column("n"), asked.column("grams"), pa.array(values, pa.binary())], ["block", "n", "grams", "surprise"])
+
+
+def score(model: DataFrame, docs: DataFrame, text: str, block: str, row: str, carry: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """``docs``, whose column ``text`` is a string, as ``in_blocks`` wrote it, and (row, those of ``carry``, total, n) of
+    each: the summed negative log probability and number of a text's characters. carry: a name for each expression
+    that goes along; ``block`` and ``row`` name columns that docs hasn't."""
+    blocks, count = in_blocks(docs, text, block, row)
+    shards = max(16, -(-count // BLOCKS_A_SHARD))
+    asked = materialise(_asked(blocks, block, text, shards), "asked")
+    known = probabilities(model, asked.groupBy("shard").applyInArrow(_different, "gram string"))
+
+    def dealt(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if batch.num_rows:
+                shard = _shards(_hashes(list(_rows(batch.column(0).to_pylist()).T)), shards)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], ["gram", "p", "shard"])
+
+    known = known.mapInArrow(dealt, "gram string, p double, shard int")
+    answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answers, "block long, n int, grams binary, surprise binary")
+    light = blocks.select(F.col(block).alias("block"), F.col(row).alias("row"), F.col(f"`{text}`").alias("text"), *(F.expr(x).alias(c) for c, x in carry.items()))
+    names = ["row", *carry]
+    kind = T.StructType([*(light.schema[c] for c in names), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("gram").to_pylist(), right.column("s").to_pylist(), strict=True))
-        left = left.select(names).combine_chunks()
-        totals, numbers = [], []
-        for batch in byte_slices(left.select([text]).to_batches(), text, SLICE_BYTES):
-            which, grams, n = windows(texts_of(batch, text))
-            values = np.fromiter((known[g] for g in grams), float, len(grams))
+        lists = zip(right.column("grams").to_pylist(), right.column("n").to_pylist(), strict=True)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(_hashes(_unpack(raw, n)) for raw, n in lists)])
+        surprise = np.frombuffer(b"".join(right.column("surprise").to_pylist()), "<f4")
+        order = np.argsort(hashes)
+        hashes, surprise = hashes[order], surprise[order].astype(float)
+        totals, numbers = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for batch in byte_slices(left.select(["text"]).to_batches(), "text", SLICE_BYTES // 2):
+            which, distinct, _, n = _ngrams(texts_of(batch), spelt=False)
+            values = surprise[np.searchsorted(hashes, distinct)] if len(distinct) else np.zeros(0)
             run = np.concatenate([[0.0], np.cumsum(values[which])])
             ends = np.cumsum(n)
             totals.append(run[ends] - run[ends - n])
             numbers.append(n)
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        scores = pa.StructArray.from_arrays([pa.array(join(totals, float)), pa.array(join(numbers, np.int64))], fields=list(inner))
-        return left.append_column(out, scores)
+        out = left.select(names)
+        return out.append_column("total", pa.array(np.concatenate(totals))).append_column("n", pa.array(np.concatenate(numbers)))
 
     # A block of empty texts has no answers; a cogroup keeps it all the same.
-    return blocks.groupBy(block).cogroup(answers.withColumnRenamed("block", block).groupBy(block)).applyInArrow(add, kind)
+    return blocks, light.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, kind)

@@ -2,204 +2,90 @@
 
 The n-grams are of five whole code points (``language_model``): every script, letter case and digit is told apart,
 and the tables grow with the text. Counts are taken from the whole text of every trusted document and stay sharded
-by n-gram; the documents' n-grams get their probabilities by joins with those tables. A document's score is the mean
-negative log probability of its characters, drawn towards its language's mean by ``prior`` characters so that a
-short text isn't judged on a few letters; its perplexity is the exponential.
+by n-gram; the documents' n-grams get their probabilities by joins with those tables. A document's perplexity is
+the exponential of the mean negative log probability of its characters. What is judged is its ``smoothed``
+perplexity, that mean drawn towards its language's by ``prior`` characters, so that a short text isn't judged on a
+few letters: a document is kept if it has characters and its smoothed perplexity is at most its ``limit``.
 
 Trusted text is split by crc32 of the id: four fifths give counts, one fifth gives each language its own
-limit, the ``quantile`` of its scores plus ``slack`` of the distance between that and their median (with a slack of
-0 the quantile itself). Languages
-with fewer than ``least`` such documents take the limit of all.
-
-Null and empty texts have no characters: perplexity null, rejected. A null language is a language of its own.
-Repeated rows are scored alike. A document of several labels is trusted if all its quality labels are 1. With
-no trusted text at all nothing can be judged and every text that has characters is kept. Other columns
-pass through whatever their names.
+limit, the ``quantile`` of its smoothed log perplexities plus ``slack`` of the distance between that and their median
+(with a slack of 0 the quantile itself). Languages with fewer than ``least`` such documents take the limit of all.
+
+Null and empty texts have no characters: perplexity null, rejected. Very long texts are scored whole, a slice of
+about a megabyte at a time where they can be cut between texts; one text must fit in a task. A null language is a
+language of its own. Repeated rows are scored alike, and a score equal to the limit is kept. A document of several
+labels is trusted if all its quality labels are 1. With no trusted text at all nothing can be judged and every text
+that has characters is kept. An empty table gives no rows. Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
-import functools
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import language_model
-from strandline.llm.common import bounded_batches, byte_slices, free_name, join_small, materialise, remove, texts_of, written
-
-# A model of 64 classes of characters in one dense table, up to surprise_table. ``classify`` doesn't use it.
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-
-
-def _classes() -> np.ndarray:
-    """The class of each code point below 65536; 63 stands for all others, 0 for the start of a text."""
-    groups = {".": 32, ",": 33, ";": 34, ":": 35, "!": 36, "?": 37, "-": 38, "'": 39, '"': 40, "(": 41, ")": 42}
-    groups |= dict.fromkeys("#*$%&", 43) | dict.fromkeys("|<>", 44) | dict.fromkeys("@/\\_=+~^[]{}`", 45) | {" ": 29, "\n": 30}
-    table = np.full(1 << 16, 62, np.uint8)
-    for cp in range(1 << 16):
-        c = chr(cp)
-        if c in groups:
-            table[cp] = groups[c]
-        elif "a" <= c <= "z":
-            table[cp] = 1 + cp - ord("a")
-        elif "A" <= c <= "Z":
-            table[cp] = 27
-        elif c.isdecimal():
-            table[cp] = 28
-        elif c.isspace() or cp < 32:
-            table[cp] = 31
-        elif c.islower():
-            table[cp] = 46 + cp % 14
-        elif c.isupper():
-            table[cp] = 60
-        elif c.isalpha():
-            table[cp] = 61
-    return table
-
-
-@functools.cache
-def _class_table() -> np.ndarray:
-    return _classes()
-
-
-def ngram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the n-gram that ends at each character of all texts, and the number of characters of each."""
-    pad = "\x00" * (ORDER - 1)
-    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), "<u4")
-    symbols = np.where(points < 1 << 16, _class_table()[np.minimum(points, 65535)], 63).astype(np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.cumsum(lengths + ORDER - 1) - lengths
-    for i in range(ORDER - 1):
-        symbols[starts - 1 - i] = 0
-    codes = functools.reduce(lambda a, k: (a << BITS) | symbols[k : len(symbols) - ORDER + 1 + k], range(1, ORDER), symbols[: len(symbols) - ORDER + 1])
-    inside = np.ones(len(codes), bool)
-    for i in range(ORDER - 1):  # the n-grams that end in the padding before the next text
-        gaps = (starts[1:] - (ORDER - 1)) - (ORDER - 1) + i
-        inside[gaps] = False
-    return codes[inside], lengths
-
-
-def count_ngrams(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(code, c) of all n-grams of whole texts: summed up in each task, then by shard."""
-
-    def count(batches):
-        seen, total = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for batch in byte_slices(batches, "text", 1 << 20):
-            codes, n = np.unique(ngram_codes([x for x in texts_of(batch) if x])[0], return_counts=True)
-            seen, place = np.unique(np.concatenate([seen, codes]), return_inverse=True)
-            total = np.bincount(place, np.concatenate([total, n]), len(seen)).astype(np.int64)
-        for at in range(0, len(seen), 1 << 16):
-            some = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(seen[some].astype(np.int32)), pa.array(total[some])], ["code", "c"])
-
-    return texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "code int, c long").groupBy("code").agg(F.sum("c").alias("c"))
-
-
-def train(trusted: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
-    """The model's seen n-grams with their probabilities and seen contexts with their backoff weights, by order.
-
-    Each order's table is bounded by the number of classes to the power of the order, so that what comes to
-    the driver is bounded too, however much text was counted."""
-    model: dict[str, np.ndarray] = {}
-    counts = materialise(count_ngrams(trusted, text_col), "ngrams")
-    orders = {ORDER: counts}
-    for n in range(ORDER - 1, 0, -1):  # below the highest order an n-gram counts once for each symbol before it
-        orders[n] = orders[n + 1].groupBy((F.col("code") % SYMBOLS**n).alias("code")).agg(F.count(F.lit(1)).alias("c"))
-        orders[n] = materialise(orders[n], "ngrams")
-    lower = None
-    for n in range(1, ORDER + 1):
-        d1, d2, d3 = language_model.discounts(orders[n])
-        discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        grams = orders[n].select("code", F.shiftright("code", BITS).alias("context"), (F.col("code") % SYMBOLS ** (n - 1)).alias("suffix"), "c", discount.alias("d"))
-        contexts = grams.groupBy("context").agg(F.sum("c").alias("all"), (F.sum("d") / F.sum("c")).alias("gamma"))
-        joined = grams.join(contexts, "context")
-        below = F.lit(1.0 / SYMBOLS)
-        if lower is not None:
-            joined = joined.join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("below")), "suffix", "left")
-            below = F.coalesce("below", F.lit(1.0 / SYMBOLS))
-        lower = joined.select("code", ((F.col("c") - F.col("d")) / F.col("all") + F.col("gamma") * below).alias("p"))
-        lower = materialise(lower, "ngrams")
-        for name, frame in ((f"p{n}", lower.select("code", F.col("p").cast("float"))), (f"g{n}", contexts.select(F.col("context").alias("code"), F.col("gamma").cast("float")))):
-            found = frame.toArrow()
-            model[f"{name}_codes"], model[f"{name}_values"] = (found.column(i).to_numpy() for i in (0, 1))
-    return model
+from strandline.llm.common import bounded_batches, free_name, join_small, materialise, remove, written
 
 
-def surprise_table(model: dict[str, np.ndarray]) -> np.ndarray:
-    """The negative log probability, in half precision, of each of the 64^4 n-grams, seen or not."""
-    p = np.full(1, 1.0 / SYMBOLS, np.float32)
-    for n in range(1, ORDER + 1):
-        codes, values = model[f"p{n}_codes"], model[f"p{n}_values"]
-        gamma = np.ones(SYMBOLS ** (n - 1), np.float32)
-        gamma[model[f"g{n}_codes"]] = model[f"g{n}_values"]
-        if n == 1:
-            p = np.full(SYMBOLS, p[0] * gamma[0], np.float32)
-            p[codes] = values
-            continue
-        order = np.argsort(codes, kind="stable")
-        codes, values = codes[order], values[order]
-        # One first symbol at a time: the backed-off probability of its n-grams is that of their common suffixes.
-        out = np.empty(SYMBOLS**n, np.float16 if n == ORDER else np.float32)
-        for first in range(SYMBOLS):
-            part = p * np.repeat(gamma[first * len(gamma) // SYMBOLS : (first + 1) * len(gamma) // SYMBOLS], SYMBOLS)
-            a, b = np.searchsorted(codes, [first * len(p), (first + 1) * len(p)])
-            part[codes[a:b] - first * len(p)] = values[a:b]
-            out[first * len(p) : (first + 1) * len(p)] = -np.log(np.maximum(part, 1e-12)) if n == ORDER else part
-        p = out
-    return p
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.0, prior: float = 64.0, least: int = 50) -> DataFrame:
-    """``docs`` with a last column ``quality`` (or, if taken, ``quality_`` and so on) more: struct<perplexity
-    double, n long, limit double, kept boolean>.
-
-    docs has doc_id, text and lang; labels has doc_id and quality. See the module for the method."""
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.0, prior: float = 64.0, least: int = 50) -> tuple[DataFrame, DataFrame, str]:
+    """``docs`` as written, with columns for the blocks and, the third value's name, for row numbers more; and
+    (row, doc_id, perplexity, n, smoothed, limit, kept) of each row."""
     spark = bounded_batches(docs).sparkSession
-    before = written(spark)
     trusted = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1").select("doc_id")
-    mine = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = join_small(mine, trusted, "doc_id", "left_semi")
+    known = join_small(docs.select("doc_id", F.col("text").cast("string").alias("text")), trusted, "doc_id", "left_semi")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = language_model.train(known.where(~held))
-    s, out, t, block = (free_name(docs, x) for x in ("surprise", "quality", "string", "blockno"))
+    block, row, text = (free_name(docs, x) for x in ("blockno", "rowno", "string"))
     texts = docs
     if dict(docs.dtypes)["text"] == "string":
-        t = "text"
+        text = "text"
     else:
-        texts = docs.withColumn(t, F.col("text").cast("string"))
-    judged = materialise(language_model.score(model, texts, t, s, block).select(*(F.col(f"`{c}`") for c in docs.columns), s), "scored", "zstd")
+        texts = docs.withColumn(text, F.col("text").cast("string"))
+    blocks, scores = language_model.score(model, texts, text, block, row, {"doc_id": "doc_id", "lang": "cast(lang as string)"})
+    before = written(spark)
+    scored = materialise(scores, "scored")
+    held_out = join_small(scored.where(held & (F.col("n") > 0)).select("doc_id", "lang", "total", "n"), trusted, "doc_id", "left_semi")
+    held_out = materialise(held_out.drop("doc_id"), "held-out")
+    mean = (F.sum("total") / F.sum("n")).alias("mean")
+    overall = held_out.agg(mean).first()["mean"] or 0.0
+    means = held_out.groupBy("lang").agg(mean, F.count(F.lit(1)).alias("docs"))
+    means = materialise(means.select(F.col("lang").alias("of"), F.when(F.col("docs") >= least, F.col("mean")).otherwise(overall).alias("mean")), "means")
+    drawn = lambda m: (F.col("total") + prior * m) / (F.col("n") + prior)
+    scores = join_small(held_out, means, F.col("lang").eqNullSafe(F.col("of"))).select("lang", "mean", drawn(F.col("mean")).alias("score"))
+    q = lambda p: F.percentile_approx("score", F.lit(p), F.lit(10000))
+    limit = (q(quantile) + slack * (q(quantile) - q(0.5))).alias("limit")
+    all_limit = scores.agg(limit).first()["limit"]
+    tops = scores.groupBy("lang").agg(F.first("mean").alias("mean"), limit, F.count(F.lit(1)).alias("docs"))
+    tops = materialise(tops.select(F.col("lang").alias("of"), "mean", F.when(F.col("docs") >= least, F.col("limit")).otherwise(F.lit(all_limit)).alias("top")), "limits")
+    joined = join_small(scored, tops, F.col("lang").eqNullSafe(F.col("of")), "left")
+    n = F.col("n")
+    top = F.coalesce("top", F.lit(float("inf") if all_limit is None else all_limit))
+    score = F.when(n > 0, drawn(F.coalesce("mean", F.lit(overall))))
+    verdicts = joined.select("row", "doc_id", F.when(n > 0, F.exp(F.col("total") / n)).alias("perplexity"), "n", F.exp(score).alias("smoothed"), F.exp(top).alias("limit"), F.coalesce(score <= top, F.lit(False)).alias("kept"))
+    verdicts = materialise(verdicts, "verdicts")
     remove(spark, [x for x in written(spark)[:-1] if x not in before])
-    held_out = join_small(judged.where(held & (F.col(f"{s}.n") > 0)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col(s).alias("s")), trusted, "doc_id", "left_semi")
-    held_out = materialise(held_out.select("lang", "s"), "held-out")
-    means = held_out.groupBy("lang").agg((F.sum("s.total") / F.sum("s.n")).alias("mean"), F.count(F.lit(1)).alias("docs"))
-    overall = held_out.agg((F.sum("s.total") / F.sum("s.n")).alias("mean"), F.count(F.lit(1)).alias("docs")).first()
-    mean_all = float(overall["mean"] or 0.0)
-    means = materialise(means.select(F.col("lang").alias("of"), F.when(F.col("docs") >= least, F.col("mean")).otherwise(mean_all).alias("mean")), "means")
+    return blocks, verdicts, row
 
-    def drawn(mean):
-        return (F.col("s.total") + prior * mean) / (F.col("s.n") + prior)
 
-    scored = join_small(held_out, means, F.col("lang").eqNullSafe(F.col("of"))).select("lang", "mean", drawn(F.col("mean")).alias("score"))
-    q = lambda p: F.percentile_approx("score", F.lit(p), F.lit(10000))
-    limit = (q(quantile) + slack * (q(quantile) - q(0.5))).alias("limit")
-    all_limit = scored.agg(limit).first()["limit"]
-    of_lang, top_of = F.col(f"{s}_limit.mean"), F.col(f"{s}_limit.top")
-    tops = scored.groupBy("lang").agg(F.first("mean").alias("mean"), limit, F.count(F.lit(1)).alias("docs"))
-    tops = tops.select(F.col("lang").alias(f"{s}_lang"), F.struct("mean", F.when(F.col("docs") >= least, F.col("limit")).otherwise(F.lit(all_limit)).alias("top")).alias(f"{s}_limit"))
-    tops = materialise(tops, "limits")
-    judged = join_small(judged, tops, F.col("lang").cast("string").eqNullSafe(F.col(f"{s}_lang")), "left")
-    total, n = F.col(f"{s}.total"), F.col(f"{s}.n")
-    score = (total + prior * F.coalesce(of_lang, F.lit(mean_all))) / (n + prior)
-    top = F.coalesce(top_of, F.lit(float("inf") if all_limit is None else all_limit))
-    verdict = F.struct(F.when(n > 0, F.exp(total / n)).alias("perplexity"), n.alias("n"), F.exp(top).alias("limit"), ((n > 0) & (score <= top)).alias("kept"))
-    return judged.select(*(F.col(f"`{c}`") for c in docs.columns), verdict.alias(out))
+def verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """(doc_id, perplexity, n, smoothed, limit, kept) of each row; no text is read twice for it but in its block."""
+    return _judged(docs, labels, **options)[1].drop("row")
+
+
+def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` with a last column ``quality`` (or, if taken, ``quality_`` and so on) more: struct<perplexity
+    double, n long, smoothed double, limit double, kept boolean>.
+
+    docs has doc_id, text and lang; labels has doc_id and quality. See the module for the method."""
+    blocks, found, row = _judged(docs, labels, **options)
+    out = free_name(docs, "quality")
+    verdict = found.select(F.col("row").alias(f"{row}_"), F.struct("perplexity", "n", "smoothed", "limit", "kept").alias(out))
+    joined = join_small(blocks, verdict, F.col(row) == F.col(f"{row}_"))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), out)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    judged = classify(docs, labels, **options)
-    verdict = judged.columns[-1]
-    return judged.where(F.col(f"{verdict}.kept")).drop(verdict)
+    blocks, found, row = _judged(docs, labels, **options)
+    rejected = found.where("not kept").select(F.col("row").alias(row))
+    return join_small(blocks, rejected, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

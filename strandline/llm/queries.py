@@ -13,7 +13,7 @@ from strandline.llm.mixing import mix
 from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.neighbours import nearest
 from strandline.llm.packing import pack
-from strandline.llm.quality_classifier import classify
+from strandline.llm.quality_classifier import verdicts
 from strandline.llm.quality_rules import apply_rules
 from strandline.llm.token_counts import count_tokens
 from strandline.llm.toxicity import score, train
@@ -30,8 +30,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "quality.perplexity", F.col("quality.n").alias("n_chars"), "quality.limit", "quality.kept")
+    judged = verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "perplexity", F.col("n").alias("n_chars"), "smoothed", "limit", "kept")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,12 +62,13 @@ def test_windows(texts):
 def test_scores_equal_the_formulas(spark, make_docs):
     trained, asked = [prose(i, 40) for i in range(6)] + [han(1)], [prose(77, 60) + "# Zq|é", han(2), "", None, "ж", prose(1, 40)]
     p = kneser_ney(trained)
-    scored = lm.score(lm.train(make_docs(trained)), make_docs(asked), "text", "s", "block").collect()
-    assert len(scored) == len(asked)
+    blocks, scores = lm.score(lm.train(make_docs(trained)), make_docs(asked), "text", "block_", "row_", {"doc_id": "doc_id"})
+    scored = scores.collect()
+    assert sorted(r["doc_id"] for r in scored) == list(range(len(asked))) == sorted(r["doc_id"] for r in blocks.collect())
     for r in scored:
-        text = r["text"] or ""
-        assert r["s"]["n"] == len(text)
-        assert math.isclose(r["s"]["total"], -sum(math.log(p(g)) for g in grams_of(text)), rel_tol=1e-6)
+        text = asked[r["doc_id"]] or ""
+        assert r["n"] == len(text)
+        assert math.isclose(r["total"], -sum(math.log(p(g)) for g in grams_of(text)), rel_tol=1e-6)
 
 
 def test_tables_grow_with_the_text(spark, make_docs):

@@ -1,7 +1,7 @@
 import math
+import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,60 +10,6 @@ from strandline.llm import quality_rules as qr
 from tests_llm_data import prose
 
 
-def codes_of(text):
-    table = qc._class_table()
-    s = [0, 0, 0] + [int(table[ord(c)]) if ord(c) < 65536 else 63 for c in text]
-    return [tuple(s[i : i + 4]) for i in range(len(text))]
-
-
-def test_codes():
-    texts = ["abcd", "", "xyé", "q", "", "A b\n#"]
-    codes, n = qc.ngram_codes(texts)
-    assert n.tolist() == [len(t) for t in texts]
-    assert codes.tolist() == [((a * 64 + b) * 64 + c) * 64 + d for t in texts for a, b, c, d in codes_of(t)]
-    assert len(qc.ngram_codes([])[0]) == 0
-
-
-def kneser_ney(texts):
-    """The interpolated modified model, written out with dictionaries."""
-    counts = {4: Counter(g for t in texts for g in codes_of(t))}
-    for n in (3, 2, 1):
-        counts[n] = Counter(g[1:] for g in counts[n + 1])
-    discounts, contexts = {}, {}
-    for n, c in counts.items():
-        m = Counter(c.values())
-        y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0
-        usual = (0.5, 0.75, 0.9)
-        discounts[n] = [min(max(k - (k + 1) * y * m[k + 1] / m[k], 0.05), k - 0.05) if m[k] and m[k + 1] else usual[k - 1] for k in (1, 2, 3)]
-        contexts[n] = {}
-        for g, x in c.items():
-            a, d = contexts[n].get(g[:-1], (0, 0))
-            contexts[n][g[:-1]] = (a + x, d + discounts[n][min(x, 3) - 1])
-
-    def p(g):
-        if not g:
-            return 1 / 64
-        total, held = contexts[len(g)].get(g[:-1], (0, 0))
-        if not total:
-            return p(g[1:])
-        x = counts[len(g)].get(g, 0)
-        return max(0, x - (discounts[len(g)][min(x, 3) - 1] if x else 0)) / total + held / total * p(g[1:])
-
-    return p
-
-
-def test_model_equals_the_formulas(spark, make_docs):
-    texts = [prose(i, 40) for i in range(6)]
-    table = qc.surprise_table(qc.train(make_docs(texts)))
-    p = kneser_ney(texts)
-    for g in set(codes_of(prose(77, 60) + "# Zq|é")):
-        code = ((g[0] * 64 + g[1]) * 64 + g[2]) * 64 + g[3]
-        assert math.isclose(table[code], -math.log(p(g)), rel_tol=2e-3)
-    rng = np.random.default_rng(0)
-    for ctx in rng.integers(0, 64**3, 20):  # probabilities of a context's symbols sum to 1
-        assert math.isclose(np.exp(-table[ctx * 64 : ctx * 64 + 64].astype(float)).sum(), 1, rel_tol=1e-2)
-
-
 def test_classify(spark, make_docs, labels_of):
     good, junk = [prose(i, 80) for i in range(150)], ["%%% ".join(prose(i, 40).split()) for i in range(10)] + [prose(i, 60).upper() for i in range(10)]
     docs = make_docs(good + junk)
@@ -74,6 +20,34 @@ def test_classify(spark, make_docs, labels_of):
     assert [r["quality"]["kept"] for r in none] == [True, False, False] and none[1]["quality"]["perplexity"] is None
 
 
+def test_verdicts_are_the_columns_compared(spark, sf):
+    """Over a whole table: limits of each language restated from the rows, and every verdict from its own columns."""
+    from strandline.llm.queries import op2_quality_classifier
+
+    rows = op2_quality_classifier(spark, sf).collect()
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    assert all(r["kept"] == (r["n_chars"] > 0 and r["smoothed"] <= r["limit"]) for r in rows if r["n_chars"])
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").collect()}
+    held = [r for r in rows if r["doc_id"] in trusted and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["n_chars"]]
+    by = {}
+    for r in held:
+        by.setdefault(docs[r["doc_id"]]["lang"], []).append(r)
+    mean = lambda x: sum(math.log(r["perplexity"]) * r["n_chars"] for r in x) / sum(r["n_chars"] for r in x)
+    means = {lang: mean(x) if len(x) >= 50 else mean(held) for lang, x in by.items()}
+    drawn = lambda r: (math.log(r["perplexity"]) * r["n_chars"] + 64 * means.get(docs[r["doc_id"]]["lang"], mean(held))) / (r["n_chars"] + 64)
+    assert all(math.isclose(math.log(r["smoothed"]), drawn(r), rel_tol=1e-9) for r in rows if r["n_chars"])
+
+    def limit(some):
+        x = sorted(map(drawn, some))
+        q = lambda p: x[max(0, math.ceil(p * len(x)) - 1)]
+        return 2 * q(0.99) - q(0.5)
+
+    for r in rows:
+        mine = by.get(docs[r["doc_id"]]["lang"], [])
+        assert math.isclose(math.log(r["limit"]), limit(mine if len(mine) >= 50 else held), rel_tol=1e-6)
+
+
 def test_classifier_on_awkward_rows(awkward, labels_of):
     labels = labels_of([(i, 1, 0) for i in (1, 1, 2, 3, 7)] + [(None, None, None)])
     judged = qc.classify(awkward, labels)
