@@ -23,35 +23,45 @@ WITH split AS (
 ), base AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
 ), measures AS (
-  SELECT rid, lang, source, 'symbol_share' AS measure, 200 AS room, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS v FROM base
-  UNION ALL SELECT rid, lang, source, 'dup_line_share', 500, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END FROM base
-  UNION ALL SELECT rid, lang, source, 'repeat_share', 300, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END FROM base
-  UNION ALL SELECT rid, lang, source, 'word_length', 20, CASE WHEN n_words > 0 THEN word_chars * 10 // n_words ELSE 0 END FROM base
+  SELECT rid, lang, source, 'symbol_share' AS measure, n_symbols * 1000 // n_words AS v FROM base WHERE NOT base_failed
+  UNION ALL SELECT rid, lang, source, 'dup_line_share', n_dup_lines * 1000 // n_lines FROM base WHERE NOT base_failed
+  UNION ALL SELECT rid, lang, source, 'repeat_share', n_repeat_words * 1000 // n_words FROM base WHERE NOT base_failed
+  UNION ALL SELECT rid, lang, source, 'word_length', word_chars * 10 // n_words FROM base WHERE NOT base_failed
 ), binned AS (
   SELECT *, (v >> greatest(length(bin(v)) - 5, 0)::BIGINT) << greatest(length(bin(v)) - 5, 0)::BIGINT AS b FROM measures
 ), levels AS (
-  SELECT 0 AS level, lang, source, measure, room, b FROM binned
-  UNION ALL SELECT 1, lang, NULL, measure, room, b FROM binned
-  UNION ALL SELECT 2, NULL, NULL, measure, room, b FROM binned
+  SELECT 0 AS level, lang, source, measure, b FROM binned
+  UNION ALL SELECT 1, lang, NULL, measure, b FROM binned
+  UNION ALL SELECT 2, NULL, NULL, measure, b FROM binned
 ), ranked AS (
-  SELECT level, lang, source, measure, room, b,
+  SELECT level, lang, source, measure, b,
          sum(count(*)) OVER (PARTITION BY level, lang, source, measure ORDER BY b) AS cum,
          sum(count(*)) OVER (PARTITION BY level, lang, source, measure) AS docs
-  FROM levels GROUP BY level, lang, source, measure, room, b
-), fences AS (
-  SELECT level, lang, source, measure, any_value(docs) AS docs,
-         4 * min(b) FILTER (WHERE cum * 4 >= docs * 3) - 3 * min(b) FILTER (WHERE cum * 4 >= docs) + any_value(room) AS fence
+  FROM levels GROUP BY level, lang, source, measure, b
+), marks AS (
+  SELECT level, lang, source, measure, any_value(docs)::BIGINT AS docs,
+         min(b) FILTER (WHERE cum * 4 >= docs) AS q1, min(b) FILTER (WHERE cum * 4 >= docs * 3) AS q3,
+         min(b) FILTER (WHERE cum * 1000 >= docs * 995) AS high, min(b) FILTER (WHERE cum * 1000 > docs * 5) AS low
   FROM ranked GROUP BY level, lang, source, measure
+), fences AS (
+  SELECT level, lang, source, measure, docs,
+         CASE WHEN q3 > q1 THEN q3 + (1::BIGINT << greatest(length(bin(q3)) - 5, 0)::BIGINT) - 1 + 3 * (q3 - q1)
+              ELSE high + (1::BIGINT << greatest(length(bin(high)) - 5, 0)::BIGINT) - 1 END AS most,
+         CASE WHEN measure <> 'word_length' THEN 0 WHEN q3 > q1 THEN greatest(q1 - 3 * (q3 - q1), 0) ELSE low END AS least
+  FROM marks
+), of_lang AS (
+  SELECT l.lang, l.measure, (l.docs * l.most + 50 * a.most) // (l.docs + 50) AS most, (l.docs * l.least + 50 * a.least) // (l.docs + 50) AS least
+  FROM fences l JOIN fences a ON l.level = 1 AND a.level = 2 AND a.measure = l.measure
+), of_group AS (
+  SELECT g.lang, g.source, g.measure, (g.docs * g.most + 50 * l.most) // (g.docs + 50) AS most, (g.docs * g.least + 50 * l.least) // (g.docs + 50) AS least
+  FROM fences g JOIN of_lang l ON g.level = 0 AND l.measure = g.measure AND l.lang IS NOT DISTINCT FROM g.lang
 ), judged AS (
-  SELECT m.rid, bool_and(m.v <= CASE WHEN g.docs >= 100 THEN g.fence WHEN l.docs >= 100 THEN l.fence ELSE a.fence END) AS within
-  FROM measures m
-  JOIN fences g ON g.level = 0 AND g.measure = m.measure AND g.lang IS NOT DISTINCT FROM m.lang AND g.source IS NOT DISTINCT FROM m.source
-  JOIN fences l ON l.level = 1 AND l.measure = m.measure AND l.lang IS NOT DISTINCT FROM m.lang
-  JOIN fences a ON a.level = 2 AND a.measure = m.measure
+  SELECT m.rid, bool_and(m.v BETWEEN g.least AND g.most) AS within
+  FROM measures m JOIN of_group g ON g.measure = m.measure AND g.lang IS NOT DISTINCT FROM m.lang AND g.source IS NOT DISTINCT FROM m.source
   GROUP BY m.rid
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept
-FROM base JOIN judged USING (rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(within, false) AS kept
+FROM base LEFT JOIN judged USING (rid)
 """
 
 CHAT = r"""

@@ -7,9 +7,12 @@ most, and two sketches merge by adding counts; as that is a plain partial aggreg
 up in every task first. Languages and the whole corpus merge their groups' sketches.
 
 A document fails the base rules if it has under ``least_words`` words or if most of its words stand in
-repeated three-word windows. Else it fails if a measure lies beyond its group's upper fence: the third
-quartile plus ``spread`` times the distance of the quartiles plus the measure's own room. Groups of fewer than
-``least`` documents take their language's fence, and such languages that of all. Fences are joined to the
+repeated three-word windows. Sketches are of the others. Of these a document fails if a measure lies beyond its
+group's thresholds, which come from the sketches alone: where the quartiles differ, the upper one plus ``spread``
+times their distance; where they don't, as for repeats that most texts have none of, the value that at most ``tail``
+in a thousand exceed. Words may be too short, too: that threshold is the mirror image. A group of n documents has the
+mean of its own threshold, counted n times, and its language's, counted ``prior`` times; a language likewise
+with the whole corpus. So each group judges by its own sketch as far as it has one. Thresholds are joined to the
 measures: broadcast if counted and few, else by a shuffled join that AQE can split at a hot source.
 
 Null texts have no words: all counts are 0, base_failed is true. Null languages and sources are groups of
@@ -25,13 +28,16 @@ from pyspark.sql import functions as F
 from strandline.llm.common import free_name, join_small, materialise
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: measure: (numerator, denominator, scale, room)
+#: measure: (numerator, denominator, scale)
 MEASURES = {
-    "symbol_share": ("n_symbols", "n_words", 1000, 200),
-    "dup_line_share": ("n_dup_lines", "n_lines", 1000, 500),
-    "repeat_share": ("n_repeat_words", "n_words", 1000, 300),
-    "word_length": ("word_chars", "n_words", 10, 20),
+    "symbol_share": ("n_symbols", "n_words", 1000),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1000),
+    "repeat_share": ("n_repeat_words", "n_words", 1000),
+    "word_length": ("word_chars", "n_words", 10),
 }
+#: The thresholds: the most that each measure may be, and the least that words' length may be.
+LEAST = "least_word_length"
+LIMITS = (*MEASURES, LEAST)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -65,7 +71,7 @@ def measured(docs: DataFrame, name: str, least_words: int = 50) -> DataFrame:
     docs = docs.select(*kept, at(name).dropFields("places").withField("n_repeat_words", F.size(F.array_distinct(covered)).cast("long")).alias(name))
     get = lambda field: at(f"{name}.{field}")
     base = (get("n_words") < least_words) | (100 * get("n_repeat_words") > 50 * get("n_words"))
-    values = [F.when(get(d) > 0, F.floor(get(num) * scale / get(d))).otherwise(F.lit(0)).cast("long").alias(m) for m, (num, d, scale, _) in MEASURES.items()]
+    values = [F.when(get(d) > 0, F.floor(get(num) * scale / get(d))).otherwise(F.lit(0)).cast("long").alias(m) for m, (num, d, scale) in MEASURES.items()]
     return docs.select(*kept, F.struct(*(get(c).alias(c) for c in COUNTS), base.alias("base_failed"), *values).alias(name))
 
 
@@ -81,53 +87,61 @@ def merge_sketches(some: DataFrame, *by: str) -> DataFrame:
     return some.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(some: DataFrame, *by: str, spread: int = 3) -> DataFrame:
-    """(by, docs, one fence for each measure) from sketches over ``by``; a sketch's bins are few and bounded."""
+def fences(some: DataFrame, *by: str, spread: int = 3, tail: int = 5) -> DataFrame:
+    """(by, docs, LIMITS) from sketches over ``by`` alone; a sketch's bins are few and bounded."""
     run = Window.partitionBy(*by, "measure").orderBy("bin")
     whole = Window.partitionBy(*by, "measure")
     ranked = some.withColumn("cum", F.sum("n").over(run)).withColumn("all", F.sum("n").over(whole))
-    quartile = lambda k: F.min(F.when(F.col("cum") * 4 >= F.col("all") * k, F.col("bin")))
-    quartiles = ranked.groupBy(*by, "measure").agg(F.first("all").alias("all"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    fence = F.col("q3") + spread * (F.col("q3") - F.col("q1"))
-    return quartiles.groupBy(*by).agg(F.max("all").alias("docs"), *(F.max(F.when(F.col("measure") == m, fence + room)).alias(m) for m, (_, _, _, room) in MEASURES.items()))
+    first = lambda condition: F.min(F.when(condition, F.col("bin")))
+    per_mille = F.col("cum") * 1000
+    marks = ranked.groupBy(*by, "measure").agg(
+        F.first("all").alias("all"), first(F.col("cum") * 4 >= F.col("all")).alias("q1"), first(F.col("cum") * 4 >= F.col("all") * 3).alias("q3"),
+        first(per_mille >= F.col("all") * (1000 - tail)).alias("high"), first(per_mille > F.col("all") * tail).alias("low"),
+    )
+    top = lambda c: F.expr(f"{c} + shiftleft(1L, greatest(length(bin({c})) - 5, 0)) - 1")  # the greatest value of its bin
+    apart = F.col("q3") > F.col("q1")
+    most = F.when(apart, top("q3") + spread * (F.col("q3") - F.col("q1"))).otherwise(top("high"))
+    least = F.when(apart, F.greatest(F.col("q1") - spread * (F.col("q3") - F.col("q1")), F.lit(0))).otherwise(F.col("low"))
+    of = lambda m, limit: F.max(F.when(F.col("measure") == m, limit))
+    return marks.groupBy(*by).agg(F.max("all").alias("docs"), *(of(m, most).alias(m) for m in MEASURES), of("word_length", least).alias(LEAST))
 
 
-def group_fences(values: DataFrame, least: int = 100, spread: int = 3) -> DataFrame:
-    """(lang, source, one fence for each measure), with the fallback of small groups resolved."""
+def group_fences(values: DataFrame, prior: int = 50, spread: int = 3, tail: int = 5) -> DataFrame:
+    """(lang, source, LIMITS): each group's own thresholds drawn towards its language's, and those to all's."""
     own = materialise(sketches(values), "sketches")
     of_lang = merge_sketches(own, "lang")
-    everything = fences(merge_sketches(of_lang), spread=spread).first()
-    by_lang = fences(of_lang, "lang", spread=spread).select(F.col("lang").alias("l"), F.col("docs").alias("l_docs"), *(F.col(m).alias(f"l_{m}") for m in MEASURES))
-    by_group = fences(own, "lang", "source", spread=spread)
-    joined = by_group.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left")
-    last = lambda m: F.lit(everything[m] if everything else None).cast("long")
-    choose = lambda m: F.when(F.col("docs") >= least, F.col(m)).when(F.col("l_docs") >= least, F.col(f"l_{m}")).otherwise(last(m))
-    return joined.select("lang", "source", *(choose(m).alias(m) for m in MEASURES))
+    everything = fences(merge_sketches(of_lang), spread=spread, tail=tail).first()
+    drawn = lambda m, above: F.floor((F.col("docs") * F.col(m) + prior * above) / (F.col("docs") + prior)).cast("long")
+    of_all = lambda m: F.lit(everything[m] if everything else None).cast("long")
+    by_lang = fences(of_lang, "lang", spread=spread, tail=tail).select(F.col("lang").alias("l"), *(drawn(m, of_all(m)).alias(f"l_{m}") for m in LIMITS))
+    joined = fences(own, "lang", "source", spread=spread, tail=tail).join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left")
+    return joined.select("lang", "source", *(drawn(m, F.col(f"l_{m}")).alias(m) for m in LIMITS))
 
 
-def _judge(table: DataFrame, rules: str, out: str, least: int, spread: int) -> DataFrame:
+def _judge(table: DataFrame, rules: str, out: str, prior: int, spread: int, tail: int) -> DataFrame:
     """``table`` with the boolean ``out``; ``rules`` names its struct of measures."""
     key = lambda c: F.col(c).cast("string")
-    values = table.select(key("lang").alias("lang"), key("source").alias("source"), *(F.col(f"{rules}.{m}").alias(m) for m in MEASURES))
-    limits = group_fences(values, least, spread).select(F.struct("lang", "source").alias(f"{out}_of"), F.struct(*MEASURES).alias(f"{out}_at"))
+    passing = table.where(~F.col(f"{rules}.base_failed"))
+    values = passing.select(key("lang").alias("lang"), key("source").alias("source"), *(F.col(f"{rules}.{m}").alias(m) for m in MEASURES))
+    limits = group_fences(values, prior, spread, tail).select(F.struct("lang", "source").alias(f"{out}_of"), F.struct(*LIMITS).alias(f"{out}_at"))
     limits = materialise(limits, "fences")
     near = key("lang").eqNullSafe(F.col(f"{out}_of.lang")) & key("source").eqNullSafe(F.col(f"{out}_of.source"))
     joined = join_small(table, limits, near, "left")
-    within: Column = ~F.col(f"{rules}.base_failed")
+    within: Column = ~F.col(f"{rules}.base_failed") & (F.col(f"{rules}.word_length") >= F.col(f"{out}_at.{LEAST}"))
     for m in MEASURES:
         within = within & (F.col(f"{rules}.{m}") <= F.col(f"{out}_at.{m}"))
     return joined.select(*(F.col(f"`{c}`") for c in table.columns), F.coalesce(within, F.lit(False)).alias(out))
 
 
-def apply_rules(docs: DataFrame, least: int = 100, spread: int = 3, least_words: int = 50) -> DataFrame:
+def apply_rules(docs: DataFrame, prior: int = 50, spread: int = 3, tail: int = 5, least_words: int = 50) -> DataFrame:
     """(doc_id, COUNTS, base_failed, MEASURES, kept). The measures, without the texts, are written once and read twice."""
     rules = measured(docs.select("doc_id", "lang", "source", "text"), "rules_", least_words)
     written = materialise(rules.select("doc_id", "lang", "source", "rules_"), "rules")
-    return _judge(written, "rules_", "kept", least, spread).select("doc_id", "rules_.*", "kept")
+    return _judge(written, "rules_", "kept", prior, spread, tail).select("doc_id", "rules_.*", "kept")
 
 
-def keep_by_rules(docs: DataFrame, least: int = 100, spread: int = 3, least_words: int = 50) -> DataFrame:
+def keep_by_rules(docs: DataFrame, prior: int = 50, spread: int = 3, tail: int = 5, least_words: int = 50) -> DataFrame:
     """The documents that pass, with their own columns. They are written once with their measures and read twice."""
     rules, kept = free_name(docs, "rules"), free_name(docs, "kept")
     written = materialise(measured(docs, rules, least_words), "rules", "zstd")
-    return _judge(written, rules, kept, least, spread).where(F.col(kept)).drop(rules, kept)
+    return _judge(written, rules, kept, prior, spread, tail).where(F.col(kept)).drop(rules, kept)

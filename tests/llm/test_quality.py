@@ -86,6 +86,27 @@ def test_rules_judge(make_docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in judged.items() if r["kept"]}
 
 
+def test_sources_judge_by_their_own_sketches(spark):
+    """Two sources with other habits get other thresholds of each measure, and one text another verdict."""
+    rows = [("en", x, *((v + i % 8) * (1 if x == "calm" else 5) for v in (10, 20, 30, 40))) for x in ("calm", "wild") for i in range(400)]
+    kind = "lang string, source string, " + ", ".join(f"{m} long" for m in qr.MEASURES)
+    limits = {r["source"]: r for r in qr.group_fences(spark.createDataFrame(rows, kind)).collect()}
+    assert all(limits["calm"][m] < limits["wild"][m] for m in qr.LIMITS)
+    for i, m in enumerate(qr.MEASURES):
+        value = (limits["calm"][m] + limits["wild"][m]) // 2
+        table = [(*r, False, k) for k, r in enumerate(rows)] + [("en", x, *(value if j == i else r for j, r in enumerate(rows[0 if x == "calm" else 400][2:])), False, x == "wild") for x in ("calm", "wild")]
+        docs = spark.createDataFrame([(r[0], r[1], r[2:7], 1000 + k if k >= 800 else k) for k, r in enumerate(table)], f"lang string, source string, rules struct<{', '.join(f'{m}:long' for m in qr.MEASURES)},base_failed:boolean>, doc_id long")
+        kept = {r["doc_id"]: r["kept"] for r in qr._judge(docs, "rules", "kept", 50, 3, 5).collect()}
+        assert (kept[1800], kept[1801]) == (False, True), m
+
+
+def test_small_groups_lean_on_their_language(spark):
+    kind = "lang string, source string, " + ", ".join(f"{m} long" for m in qr.MEASURES)
+    rows = [("en", "big", *[10 + i % 8] * 4) for i in range(1000)] + [("en", "small", *[200] * 4)]
+    limits = {r["source"]: r for r in qr.group_fences(spark.createDataFrame(rows, kind)).collect()}
+    assert limits["big"]["repeat_share"] < limits["small"]["repeat_share"] < 60 < 200
+
+
 def test_rules_on_awkward_rows(awkward):
     kept = qr.keep_by_rules(awkward)
     assert kept.columns == awkward.columns
@@ -102,7 +123,7 @@ def test_sketches_merge(make_docs, spark):
     got = qr.fences(qr.merge_sketches(whole, "lang"), "lang").first()
     exact = sorted(i % 97 for i in range(500))
     q1, q3 = exact[124], exact[374]
-    assert got["docs"] == 500 and abs(got["word_length"] - 20 - (q3 + 3 * (q3 - q1))) <= 4 * (q3 // 16 + 1)
+    assert got["docs"] == 500 and abs(got["word_length"] - (q3 + 3 * (q3 - q1))) <= 4 * (q3 // 16 + 1)
 
 
 @pytest.mark.parametrize("text,bins", [(31, 31), (33, 32), (1000, 992)])
