@@ -98,7 +98,8 @@ FROM w x
 
 WARC_FIXITY = r"""
 WITH recs AS (
-  SELECT page_id, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+  SELECT page_id, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, sha256(coalesce(url, '') || chr(10) || coalesce(html, '')))
+    || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
     || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS record FROM pages
 ), hashed AS (
@@ -106,9 +107,14 @@ WITH recs AS (
 ), placed AS (
   SELECT *, coalesce(sum(length) OVER (ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM hashed
 ), filed AS (
-  SELECT *, pos // 67108864 AS file, pos - min(pos) OVER (PARTITION BY pos // 67108864) AS offset_ FROM placed
+  SELECT *, pos // 67108864 AS file, pos - min(pos) OVER (PARTITION BY pos // 67108864) AS offset_, substr(digest, 1, 2) AS rule FROM placed
+), more AS (
+  SELECT *, coalesce(sum(length) OVER (ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM filed WHERE rule BETWEEN '18' AND '1f'
 )
-SELECT file, offset_ AS offset, length, digest, CASE WHEN digest LIKE '00%' THEN sha256(unhex('00' || substr(hex(record), 3))) END AS found_digest,
-       CASE WHEN digest LIKE '00%' THEN 'changed' ELSE 'missing' END AS fault
-FROM filed WHERE digest LIKE '00%' OR digest LIKE '01%'
+SELECT file, offset_ AS offset, length, digest,
+       CASE WHEN rule <= '07' THEN sha256(unhex('00' || substr(hex(record), 3))) WHEN rule >= '10' THEN sha256(unhex(substr(hex(record), 1, 2 * length::INT - 2))) END AS found_digest,
+       CASE WHEN rule BETWEEN '08' AND '0f' THEN 'missing' ELSE 'changed' END AS fault
+FROM filed WHERE rule <= '17'
+UNION ALL
+SELECT (SELECT max(file) FROM filed) + 1 + place // 67108864, place - min(place) OVER (PARTITION BY place // 67108864), length, NULL, digest, 'extra' FROM more
 """

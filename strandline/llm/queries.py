@@ -70,15 +70,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two replicas of the archive of all pages; the second was damaged, by a rule on the records' hashes, in about
-    one record of 128: half of those had their first byte overwritten, the other half are gone."""
+    """Two replicas of the archive of all pages, each record of either hashed from its own bytes. The second was damaged,
+    by a rule on the records' hashes, in an eighth of them: a quarter of those had their first byte overwritten, a
+    quarter are gone, a quarter lost their last byte, and a quarter were written once more into files of their own."""
     recs = warc.records(table(spark, sf_dir, "pages"))
     first = materialise(warc.place(recs), "replica")
-    damaged = F.concat(F.unhex(F.lit("00")), F.expr("substring(record, 2)"))
-    copy = recs.withColumn("written", F.sha2("record", 256)).where(F.substring("written", 1, 2) != "01")
-    copy = copy.withColumn("record", F.when(F.substring("written", 1, 2) == "00", damaged).otherwise(F.col("record")))
-    second = warc.place_copy(first, copy)
-    return warc.audit(first, second)
+    copy = recs.withColumn("written", F.sha2("record", 256))
+    rule = lambda low, high: F.substring("written", 1, 2).between(low, high)
+    overwritten = F.concat(F.unhex(F.lit("00")), F.expr("substring(record, 2)"))
+    hurt = F.when(rule("00", "07"), overwritten).when(rule("10", "17"), F.expr("substring(record, 1, octet_length(record) - 1)")).otherwise(F.col("record"))
+    second = warc.place_copy(first, copy.where(~rule("08", "0f")).withColumn("record", hurt))
+    last = first.agg(F.max("file")).first()[0]
+    extra = warc.place(copy.where(rule("18", "1f")).select("page_id", "record"), first_file=0 if last is None else last + 1)
+    return warc.audit(first, second.union(extra.select("file", "offset", "length", "digest")))
 
 
 QUERIES = {

@@ -31,19 +31,21 @@ SPAN = 1 << 18
 FILE_BYTES = 64 << 20
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(page_id, record): each page as the bytes of a WARC response record."""
+def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """(page_id, record): each page as the bytes of a WARC record. ``date`` stands for the time of capture, which pages
+    don't tell. A record of a null page id is named by the hash of its url and page."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     end = F.lit("\r\n")
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "), text("url"), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(text("html")).cast("string"), end, end,
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.sha2(F.concat(text("url"), F.lit("\n"), text("html")), 256)),
+        F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), text("url"), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(text("html")).cast("string"), end, end,
     )
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.concat(head, text("html"), end, end).cast("binary").alias("record"))
 
 
-def place(recs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """(page_id, file, offset, length, digest) of each record, by page id and digest; no record is split."""
+def place(recs: DataFrame, file_bytes: int = FILE_BYTES, first_file: int = 0) -> DataFrame:
+    """(page_id, file, offset, length, digest) of each record, by page id and digest, in files from ``first_file`` on; no
+    record is split."""
     light = recs.select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
     ordered = light.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest")
 
@@ -59,7 +61,7 @@ def place(recs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     placed = with_bases(summed, totals, "total", "base").withColumn("global", F.col("base") + F.col("at"))
     placed = placed.withColumn("file", F.floor(F.col("global") / file_bytes).cast("long"))
     starts = placed.groupBy("file").agg(F.min("global").alias("start"))
-    return join_small(placed, starts, "file").select("page_id", "file", (F.col("global") - F.col("start")).alias("offset"), "length", "digest")
+    return join_small(placed, starts, "file").select("page_id", (F.col("file") + first_file).alias("file"), (F.col("global") - F.col("start")).alias("offset"), "length", "digest")
 
 
 def place_copy(first: DataFrame, copy: DataFrame) -> DataFrame:
