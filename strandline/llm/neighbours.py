@@ -1,8 +1,16 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each table turns unit vectors by three rounds of random signs and a fast Hadamard transform and names the
-nearest signed axis: a vector's bucket. A query looks into the ``probes`` buckets of each table whose axes are
-nearest to it; what it finds there is ranked by the exact cosine of the original vectors, in double precision.
+Each table turns unit vectors by three rounds of random signs and a fast Hadamard transform and names the nearest
+signed axis; a bucket is named by the axes of one such turn, or of two. A query looks into the buckets whose axes
+have the largest sums; what it finds there is ranked by the exact cosine of the original vectors, in double precision.
+
+How many turns, tables and probes is ``tuned`` on a sample of at most ``sample`` vectors and SAMPLE_BYTES, the smallest
+by a hash of their id, of which SAMPLE_QUERIES ask: of those settings whose recall in the sample, against brute
+force, is ``recall`` or more, the one with the least work. As neighbours in a sample lie further off than in all vectors,
+the recall in all is higher. Where no setting gets there, as with vectors that are all but orthogonal to
+each other, hashing can't tell neighbours from others, and every query is ranked against all vectors, in blocks. Every
+vector is in every table; the sample decides the settings only. ``compared`` says how many candidates a query met,
+one found in two tables twice.
 
 Equal vectors are first put together, keeping of each the ``k`` + 1 smallest ids: no query can need more of
 them, as ties go to the smaller id. So copies cost nothing, whatever their share. A bucket of more than
@@ -25,13 +33,16 @@ from strandline.llm.common import bounded_batches, join_small, materialise
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The orthonormal Walsh-Hadamard transform of each row; the width is a power of two."""
-    n, h = x.shape[1], 1
-    while h < n:
-        y = x.reshape(len(x), n // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
-        h *= 2
-    return x / np.sqrt(n)
+    """The orthonormal Walsh-Hadamard transform of each row; the width is a power of two. Of a width over 64 the factors
+    are transformed one after the other."""
+    n = x.shape[1]
+    if n > 64:
+        parts = hadamard(x.reshape(-1, 64)).reshape(len(x), n // 64, 64)
+        return hadamard(parts.transpose(0, 2, 1).reshape(-1, n // 64)).reshape(len(x), 64, n // 64).transpose(0, 2, 1).reshape(len(x), n)
+    matrix = np.ones((1, 1))
+    while len(matrix) < n:
+        matrix = np.block([[matrix, matrix], [matrix, -matrix]])
+    return x @ matrix / np.sqrt(n)
 
 
 def rotated(unit: np.ndarray, table: int, seed: int = 7) -> np.ndarray:
@@ -45,13 +56,59 @@ def rotated(unit: np.ndarray, table: int, seed: int = 7) -> np.ndarray:
     return x
 
 
-def buckets(unit: np.ndarray, table: int, probes: int = 1) -> np.ndarray:
-    """For each row its nearest signed axes in one table, nearest first: axis, or width + axis if negative."""
-    y = rotated(unit, table)
-    signed = np.concatenate([y, -y], axis=1)
-    probes = min(probes, signed.shape[1])
-    near = np.argpartition(-signed, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(near, np.argsort(-np.take_along_axis(signed, near, axis=1), axis=1, kind="stable"), axis=1)
+def buckets(unit: np.ndarray, table: int, probes: int = 1, turns: int = 1) -> np.ndarray:
+    """For each row the numbers of its buckets in one table, best first: at one turn its nearest signed axes (axis, or
+    width + axis if negative), at two pairs of them by the sum of both."""
+    near, value = [], []
+    for turn in range(turns):
+        y = rotated(unit, table + turn * (1 << 16))
+        signed = np.concatenate([y, -y], axis=1)
+        few = min(probes, signed.shape[1])
+        best = np.argpartition(-signed, few - 1, axis=1)[:, :few]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(signed, best, axis=1), axis=1, kind="stable"), axis=1)
+        near.append(best)
+        value.append(np.take_along_axis(signed, best, axis=1))
+    if turns == 1:
+        return near[0]
+    few = near[0].shape[1]
+    i, j = np.nonzero(np.outer(1 + np.arange(few), 1 + np.arange(few)) <= probes)  # all others have ``probes`` better ones
+    best = np.argsort(-(value[0][:, i] + value[1][:, j]), axis=1, kind="stable")[:, :probes]
+    return np.take_along_axis(near[0][:, i] * signed.shape[1] + near[1][:, j], best, axis=1)
+
+
+#: What is tried, in tables, probes and turns; the part of all vectors that one more table must save a query.
+TABLES, PROBES, TURNS = (2, 4, 8, 12, 16, 24, 32), (1, 2, 4, 8, 16, 32, 48, 64, 96, 128), (1, 2)
+TABLE_WORK = 0.001
+SAMPLE_QUERIES, SAMPLE_BYTES = 200, 32 << 20
+
+
+def tuned(unit: np.ndarray, k: int, recall: float) -> tuple[int, int, int] | None:
+    """(turns, tables, probes) of the least work that reach ``recall`` in a sample of unit vectors, or None where that is
+    as much as to compare each query with all."""
+    asking = unit[:SAMPLE_QUERIES]
+    near = asking @ unit.T
+    near[np.arange(len(asking)), np.arange(len(asking))] = -np.inf
+    k = min(k, len(unit) - 1)
+    if k < 1:
+        return 1, TABLES[0], 1
+    true = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    found, least = None, 1.0
+    for turns in TURNS:
+        rank, met = np.full(true.shape, 1 << 30), np.zeros((len(asking), max(PROBES)))
+        for table in range(max(TABLES)):
+            own, asked = buckets(unit, table, 1, turns)[:, 0], buckets(asking, table, max(PROBES), turns)
+            where = own[true][:, :, None] == asked[:, None, :]
+            rank = np.minimum(rank, np.where(where.any(axis=2), where.argmax(axis=2), 1 << 30))
+            names, sizes = np.unique(own, return_counts=True)
+            at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+            met[:, : asked.shape[1]] += np.cumsum(np.where(names[at] == asked, sizes[at], 0), axis=1)
+            if table + 1 in TABLES:
+                for probes in PROBES:
+                    if probes <= asked.shape[1] and (rank < probes).mean() >= recall:
+                        work = met[:, probes - 1].mean() / len(unit) + (table + 1) * TABLE_WORK
+                        if work < least:
+                            found, least = (turns, table + 1, probes), work
+    return found
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -75,7 +132,7 @@ def _doubles(raw: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return scaled, scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _hashed(rows: DataFrame, tables: int, probes: int) -> DataFrame:
+def _hashed(rows: DataFrame, tables: int, probes: int, turns: int) -> DataFrame:
     """(id, dim, raw, tb): a row for each table and probe; tb is table and bucket in one number."""
 
     def hash_all(frames):
@@ -84,11 +141,32 @@ def _hashed(rows: DataFrame, tables: int, probes: int) -> DataFrame:
                 for at in range(0, len(same), 2048):
                     part = same.iloc[at : at + 2048]
                     unit = _doubles(part["raw"], dim)[1]
-                    yield part.assign(tb=list(np.concatenate([buckets(unit, t, probes) + t * (1 << 32) for t in range(tables)], axis=1).astype(np.int64)))
+                    yield part.assign(tb=list(np.concatenate([buckets(unit, t, probes, turns) + t * (1 << 40) for t in range(tables)], axis=1).astype(np.int64)))
 
     return rows.mapInPandas(hash_all, "id long, dim int, raw binary, tb array<bigint>").select("id", "dim", "raw", F.explode("tb").alias("tb"))
 
 
+#: How far apart two sums of the same products in another order can be.
+ROUNDING = 1e-9
+
+
+def _best(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, near: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` best candidates of each query by the exact cosine, ties by id. near: the cosines, but for rounding."""
+    kept = min(k, near.shape[1])
+    least = np.partition(near, near.shape[1] - kept, axis=1)[:, near.shape[1] - kept]
+    row, col = np.nonzero((near >= least[:, None] - ROUNDING) & np.isfinite(near))
+    q_sum, c_sum, score = (q * q).sum(1), (c * c).sum(1), np.empty(len(row))
+    for at in range(0, len(row), 1 << 14):
+        i, j = row[at : at + (1 << 14)], col[at : at + (1 << 14)]
+        score[at : at + (1 << 14)] = np.einsum("ij,ij->i", q[i], c[j]) / np.sqrt(q_sum[i] * c_sum[j])
+    order = np.lexsort((c_id[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    some = place < k
+    compared = np.where(place == 0, np.isfinite(near).sum(1)[row], 0)  # told once for each query and meeting
+    return pd.DataFrame({"query_id": q_id[row], "vec_id": c_id[col], "score": score, "compared": compared})[some]
+
+
 def _search(k: int):
     """A part's queries against its candidates, each side of bounded size: the ``k`` best of each query."""
 
@@ -96,25 +174,21 @@ def _search(k: int):
         out = []
         if len(queries) and len(candidates):
             dim = int(queries["dim"].iloc[0])
-            candidates = candidates.sort_values("id")
             (q, q_unit), (c, c_unit) = _doubles(queries["raw"], dim), _doubles(candidates["raw"], dim)
             q_id, c_id = queries["id"].to_numpy(), candidates["id"].to_numpy()
             for at in range(0, len(q_id), 512):
                 some = slice(at, at + 512)
-                near = np.round(q_unit[some] @ c_unit.T, 12)
+                near = q_unit[some] @ c_unit.T
                 near[q_id[some, None] == c_id[None, :]] = -np.inf
-                best = np.argsort(-near, axis=1, kind="stable")[:, :k]  # candidates stand by id, so ties go to the smaller
-                exact = np.einsum("ij,ikj->ik", q[some], c[best]) / np.sqrt((q[some] ** 2).sum(1)[:, None] * (c[best] ** 2).sum(2))
-                keep = np.isfinite(np.take_along_axis(near, best, axis=1))
-                row, col = np.nonzero(keep)
-                out.append(pd.DataFrame({"query_id": q_id[some][row], "vec_id": c_id[best[row, col]], "score": exact[row, col]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+                out.append(_best(q[some], q_id[some], c, c_id, near, k))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0), "compared": np.zeros(0, np.int64)})
 
     return search
 
 
 def _meet(queries: DataFrame, candidates: DataFrame, k: int, block: int) -> DataFrame:
-    """(query_id, vec_id, score) found in common buckets, each bucket in parts of about ``block`` on either side."""
+    """(query_id, vec_id, score, compared) found in common buckets, each bucket in parts of about ``block`` on either
+    side. Vectors in buckets that no query looks into go no further."""
     key = ["dim", "tb"]
     parts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     sizes = materialise(parts(candidates, "c_parts").join(parts(queries, "q_parts"), key), "parts")
@@ -123,20 +197,36 @@ def _meet(queries: DataFrame, candidates: DataFrame, k: int, block: int) -> Data
     q = join_small(queries, sizes, key).select("id", *key, "raw", hashed("q_parts").alias("qp"), every("c_parts").alias("cp"))
     c = join_small(candidates, sizes, key).select("id", *key, "raw", hashed("c_parts").alias("cp"), every("q_parts").alias("qp"))
     by = [*key, "qp", "cp"]
-    return q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(_search(k), "query_id long, vec_id long, score double")
+    return q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(_search(k), "query_id long, vec_id long, score double, compared long")
+
+
+def settings(pool: DataFrame, k: int, sample: int, recall: float) -> tuple[int, int, int] | None:
+    """What ``tuned`` finds on a sample of the vectors of the commonest length."""
+    common = pool.groupBy("dim").count().orderBy(F.col("count").desc(), "dim").first()
+    if common is None:
+        return 1, TABLES[0], 1
+    dim = common["dim"]
+    rows = pool.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE_QUERIES, min(sample, SAMPLE_BYTES // (8 * dim)))).toPandas()
+    return tuned(_doubles(rows["raw"], dim)[1], k, recall)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 16, probes: int = 8, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of each row that ``is_query`` (a condition on id)."""
+def nearest(vectors: DataFrame, is_query, k: int = 5, sample: int = 4096, recall: float = 0.92, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score, compared): the ``k`` nearest found of each row that ``is_query`` (a condition on id)."""
     taking_part = materialise(usable(vectors, id_col, vector_col).distinct(), "vectors")
     copies = Window.partitionBy("raw").orderBy("id")
     pool = materialise(taking_part.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n"), "pool")
     queries = taking_part.where(is_query(F.col("id")))
-    found = _meet(_hashed(queries, tables, probes), _hashed(pool, tables, 1), k, block)
-    found = materialise(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
-    few = queries.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti")
-    if not few.isEmpty():
-        whole = _meet(few.withColumn("tb", F.lit(-1).cast("long")), pool.withColumn("tb", F.lit(-1).cast("long")), k, block)
-        found = found.union(whole).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    chosen = settings(pool, k, sample, recall)
+    all_of = lambda df: df.withColumn("tb", F.lit(-1).cast("long"))
+    together = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("compared").alias("compared"))
+    if chosen is None:
+        found = together(_meet(all_of(queries), all_of(pool), k, block))
+    else:
+        turns, tables, probes = chosen
+        found = materialise(together(_meet(_hashed(queries, tables, probes, turns), _hashed(pool, tables, 1, turns), k, block)), "found")
+        few = queries.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti")
+        if not few.isEmpty():
+            found = together(found.union(_meet(all_of(few), all_of(pool), k, block)))
+    whole = Window.partitionBy("query_id")
+    ranked = found.withColumn("rank", F.row_number().over(whole.orderBy(F.col("score").desc(), "vec_id"))).withColumn("compared", F.sum("compared").over(whole))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "compared")

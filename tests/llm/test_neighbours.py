@@ -49,6 +49,28 @@ def test_recall(spark, clusters):
     assert all(abs(scores[q, v] - s) < 1e-12 for q, x in got.items() for v, s in x)
 
 
+def test_tuning(spark):
+    """Under a third of the comparisons of exact search on the table of 64 dimensions; vectors that hashing can't tell apart go the exact way."""
+    x = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    turns, tables, probes = nb.tuned(unit, 5, 0.92)
+    met, hits = 0, 0
+    own = [nb.buckets(unit, t, 1, turns)[:, 0] for t in range(tables)]
+    for n in range(0, len(unit), 50):
+        near = unit @ unit[n]
+        near[n] = -np.inf
+        here = [np.isin(own[t], nb.buckets(unit[n : n + 1], t, probes, turns)[0]) for t in range(tables)]
+        met += sum(x.sum() for x in here)
+        hits += np.any(here, axis=0)[np.argsort(-near)[:5]].sum()
+    queries = -(-len(unit) // 50)
+    assert hits >= 0.9 * 5 * queries and met <= 0.3 * queries * len(unit)
+    r = np.random.default_rng(3).normal(size=(1500, 384))
+    assert nb.tuned(r / np.linalg.norm(r, axis=1, keepdims=True), 5, 0.92) is None
+    rows = list(enumerate(r[:600]))
+    want, got = exact(rows, lambda i: i % 50 == 0, 5), found(nb.nearest(frame(spark, rows), lambda i: i % 50 == 0))
+    assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+
+
 def test_copies_ties_and_blocks(spark):
     r = np.random.default_rng(5)
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(200)] + [(200 + i, r.normal(size=4)) for i in range(100)] + [(300, [2.0, 4.0, 6.0, 8.0])]
