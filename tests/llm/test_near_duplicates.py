@@ -83,6 +83,61 @@ def test_prefix_meets_the_recall():
     assert nd.prefix_length(0.8, 2, 6, 0.9999) == 1
 
 
+def test_common_prefixes():
+    rows = np.array([[0, 1, 2, 3, 4], [0, 1, 2, 3, 9], [0, 1, 2, 3, 9], [1, 1, 2, 3, 9], [1, 7, 2, 3, 9]], np.uint8)
+    assert nd.common_prefixes(rows, np.full(5, 255, np.uint8)).tolist() == [0, 1, 2, 0, 0]
+
+
+def test_prefixes_are_shortened_as_the_data_ask(spark, make_docs):
+    """Copies that differ in a word of a thousand are found by whole labels; texts of similarities down to 0.8 are not."""
+    close = [prose(i, 1000) for i in range(6)]
+    close += [near(t, 50 + i) for i, t in enumerate(close)]
+    found, length = nd.classes(make_docs(close))
+    assert length == 8 and {r["class_id"] for r in found.collect()} == set(range(6))
+    loose = [prose(0, 200)] + [near(prose(0, 200), 70 + i, i) for i in range(6)]
+    found, length = nd.classes(make_docs(loose))
+    assert length < 8 and sorted(tuple(r) for r in found.collect()) == brute(list(enumerate(loose)))
+
+
+def test_forest_equals_its_tries(spark):
+    """Heads against groups of equal prefixes, with a label that more sets share than a partition holds."""
+    r = np.random.default_rng(0)
+    marks = [np.concatenate([r.integers(0, 2, 12) if i % 3 else np.zeros(12)]).astype(">u2").tobytes() for i in range(400)]
+    sets = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(marks)], "node long, marks binary").repartition(7)
+    rows = nd.forest(sets, 3, 4, 2).collect()
+    for length in (2, 3, 4):
+        links = [(x["node"], x["heads"][length - 2]) for x in rows if len(x["heads"]) > length - 2 and x["heads"][length - 2] is not None]
+        root = list(range(400))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        want = list(range(400))
+        for a, b in links:
+            root[find(a)] = find(b)
+        groups = {}
+        for i, m in enumerate(marks):
+            for t in range(3):
+                groups.setdefault((t, m[8 * t : 8 * t + 2 * length]), []).append(i)
+        for a, b in links:
+            assert any(a in g and b in g for g in groups.values())
+        got = [find(i) for i in range(400)]
+        root = want
+        for g in groups.values():
+            for x in g:
+                root[find(x)] = find(g[0])
+        assert len({(a, find(i)) for i, a in enumerate(got)}) == len(set(got)) == len({find(i) for i in range(400)})
+
+
+def test_one_id_with_several_texts(spark, make_docs):
+    a, b = prose(1, 100), prose(2, 100)
+    rows = [(1, a, "en", "s"), (5, near(a, 3), "en", "s"), (5, b, "en", "s"), (6, near(b, 4), "en", "s"), (7, near(a, 9), "en", "s")]
+    assert run(make_docs(rows)) == brute([(r[0], r[1]) for r in rows])
+    assert sorted(r["doc_id"] for r in nd.keep_one(make_docs(rows)).collect()) == [1, 5]
+
+
 def test_against_brute_force(spark, make_docs):
     base = [prose(i, 60 + i) for i in range(12)]
     texts = base + [near(base[i % 4], 100 + i, i % 9) for i in range(60)] + base[:3] + [base[5]] * 9 + ["one two", "one two", "one", "", None, prose(0, 30) + prose(3, 40)]
