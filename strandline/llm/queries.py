@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, oracles, warc
+from strandline.llm import chat, oracles, pipeline, warc
 from strandline.llm.common import materialise
 from strandline.llm.mixing import mix
 from strandline.llm.near_duplicates import near_duplicates
@@ -96,7 +95,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_warc_fixity": op10_warc_fixity,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLE = {
     "op3_near_duplicates": oracles.NEAR_DUPLICATES,
