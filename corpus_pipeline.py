@@ -1,64 +1,5 @@
-"""The corpus pipeline: documents in, packed training sequences out.
+"""The corpus pipeline; its stages are in ``strandline.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the next one's docs. All but the last return the columns of documents.
-"""
+from strandline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from strandline.llm.common import materialise, remove, written
-from strandline.llm.mixing import mixed_documents
-from strandline.llm.near_duplicates import keep_one
-from strandline.llm.packing import pack
-from strandline.llm.quality_classifier import keep_quality
-from strandline.llm.quality_rules import keep_by_rules
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under the model of trusted text is within their language's limit."""
-    return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose measures are within the fences of their language and source."""
-    return keep_by_rules(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    return keep_one(docs)
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them."""
-    return mixed_documents(docs)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in sequences of 1024 ids."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("quality classifier", quality_classifier),
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_duplicates),
-    ("mixing sources to target weights", mixing),
-    ("packing", packing),
-]
-
-#: SQL can express neither the language model nor the tokenizer; the stages are tested one by one.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the documents of ``sf_dir``. Once a stage's rows are written, what led
-    to them is removed; the last stage's table stays."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written(spark)
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), "zstd")
-        remove(spark, [x for x in written(spark)[:-1] if x not in before])
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
