@@ -3,20 +3,26 @@
 Each conversation is a path of turns; a turn's node is named by a running hash of all turns up to it, so equal
 beginnings share nodes. Conversations are sorted by their paths, which is the tree's depth-first order: a
 conversation then has to emit only what lies beyond the turns it shares with its predecessor. The order is cut
-into trees of about ``tree_chars`` characters; a tree repeats the shared beginning that it starts with, so any
-number of conversations with one first turn, or of equal conversations, spreads over many trees and tasks.
-A tree is a sequence of segments, a row each: the turn as formatted text, its offset in the tree's stream, the
-position id of its first character (what stands before it on its own path), the intervals of the stream that
-its ancestors cover, which are what it may attend to beside itself, whether it is under the loss and where its
-text lies within it, and the conversations that end there.
+into trees of about ``tree_chars`` characters beyond their first conversation; a tree repeats the shared beginning that
+it starts with, so any number of conversations with one first turn, or of equal conversations, spreads over many
+trees and tasks. A tree is a sequence of segments, a row each: the turn as formatted text, its offset in the tree's
+stream, the position id of its first character (what stands before it on its own path), the intervals of the stream
+that its ancestors cover, which are what it may attend to beside itself, whether it is under the loss and where
+its text lies within it, and the conversations that end there.
+
+With a tokenizer a segment has all this in tokens too: ``ids``, emitted once whatever number of conversations share
+them, and offset, position, loss and ancestors counted in them. The control strings are one id each, the
+first two numbers beyond the vocabulary (``control_ids``); role, text and line feeds are encoded each by itself, without special tokens. So the
+ids along a path are those of the conversation formatted alone.
 
 The template is ``<|im_start|>role LF text<|im_end|> LF``. In roles and texts a backslash becomes two and
 ``<|`` becomes ``<\\|``, so no text can hold a control string and unescaping gives every text back; a line feed
-in a role is escaped too. Characters are the unit here; ``emit`` hands them to any tokenizer turn by turn.
+in a role is escaped too.
 
 Turns go by turn number, then role and text where numbers repeat. Null roles and texts are empty; null
 turn numbers come first; rows with a null conversation id are one conversation of their own. Repeated rows are
-turns each. A conversation is the unit: it must fit in a task. An empty table gives no rows. Other columns are left out.
+turns each. A conversation is the unit: it must fit in a task, however long its texts and many its turns are. An empty
+table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -24,13 +30,16 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import bounded_batches, materialise
+from strandline.llm.encoders import encoder
 
 START, END = "<|im_start|>", "<|im_end|>\n"
+FRAME_CHARS = 1 << 21
 _TURN = re.compile(r"<\|im_start\|>((?:[^\n\\]|\\.)*)\n(.*?)<\|im_end\|>\n", re.S)
 
 
@@ -80,41 +89,69 @@ def paths(conversations: DataFrame) -> DataFrame:
     return whole.select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts")).mapInPandas(walk, "conv_id string, roles array<string>, texts array<string>, path binary")
 
 
-SEGMENTS = "tree string, segment long, offset long, position long, formatted string, loss boolean, loss_from long, loss_to long, ancestors array<struct<first:long,last:long>>, parent long, ends array<string>"
+SEGMENTS = "tree string, segment long, offset long, position long, formatted string, loss boolean, loss_from long, loss_to long, ancestors array<struct<first:long,last:long>>, parent long, ends array<string>, ids array<int>, id_offset long, id_position long, id_loss_from long, id_loss_to long, id_ancestors array<struct<first:long,last:long>>"
 
 
-def format_tree(conversations: DataFrame, tree_chars: int = 1 << 16, loss_role: str = "assistant") -> DataFrame:
+def control_ids(tokenizer_path: str) -> tuple[int, int]:
+    """The ids of the two control strings of the template."""
+    size = encoder(tokenizer_path).size
+    return size, size + 1
+
+
+def encode_turn(tokenizer_path: str, role: str, text: str) -> tuple[list[int], int, int]:
+    """The ids of a formatted turn, and from where to where in them the escaped text lies."""
+    enc, (start, end) = encoder(tokenizer_path), control_ids(tokenizer_path)
+    head, body, tail = (np.frombuffer(x, enc.dtype).tolist() for x in enc.encode([escape_role(role) + "\n", escape(text), "\n"]))
+    return [start, *head, *body, end, *tail], 1 + len(head), 1 + len(head) + len(body)
+
+
+def _spans(stack: list, size, offset) -> list[dict]:
+    """The intervals that the segments of a path cover; neighbours make one."""
+    spans: list[dict] = []
+    for _, s in stack:
+        if spans and spans[-1]["last"] == offset(s):
+            spans[-1]["last"] += size(s)
+        else:
+            spans.append({"first": offset(s), "last": offset(s) + size(s)})
+    return spans
+
+
+def format_tree(conversations: DataFrame, tree_chars: int = 1 << 16, loss_role: str = "assistant", tokenizer_path: str | None = None) -> DataFrame:
     """The segments of all trees, as SEGMENTS: parent is the segment of the turn before, or -1; ends lists the
-    conversations that end with this turn (null for a null id)."""
+    conversations that end with this turn (null for a null id). Without a tokenizer the columns of ids are null."""
     written = materialise(paths(conversations), "paths")
     chars = F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     ordered = written.withColumn("chars", chars).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
 
     def emit(frames):
-        tree, used, ended, stack, rows = None, 0, 0, [], []
+        tree, used, ids_used, ended, base, stack, rows = None, 0, 0, 0, 0, [], []
         for pdf in frames:
             for conv, roles, texts, path in zip(pdf["conv_id"], pdf["roles"], pdf["texts"], pdf["path"], strict=True):
-                if tree is None or used + ended >= tree_chars:
+                if tree is None or used - base + ended >= tree_chars:
                     if rows:
                         yield _frame(rows)
-                    tree, used, ended, stack, rows = f"{path.hex()[:16]}-{conv}", 0, 0, [], []
+                    tree, used, ids_used, ended, base, stack, rows = f"{path.hex()[:16]}-{conv}", 0, 0, 0, 0, [], []
                 shared = 0
                 while shared < len(stack) and path[8 * shared : 8 * shared + 8] == stack[shared][0]:
                     shared += 1
                 del stack[shared:]
                 for k in range(shared, len(roles)):
                     formatted, first, last = format_turn(roles[k], texts[k])
-                    position = stack[-1][1]["position"] + len(stack[-1][1]["formatted"]) if stack else 0
-                    spans: list[dict] = []
-                    for _, s in stack:  # neighbouring ancestors make one interval
-                        if spans and spans[-1]["last"] == s["offset"]:
-                            spans[-1]["last"] += len(s["formatted"])
-                        else:
-                            spans.append({"first": s["offset"], "last": s["offset"] + len(s["formatted"])})
-                    segment = {"tree": tree, "segment": len(rows), "offset": used, "position": position, "formatted": formatted, "loss": roles[k] == loss_role, "loss_from": first, "loss_to": last, "ancestors": spans, "parent": stack[-1][1]["segment"] if stack else -1, "ends": []}
+                    up = stack[-1][1] if stack else None
+                    segment = {
+                        "tree": tree, "segment": len(rows), "offset": used, "position": up["position"] + len(up["formatted"]) if up else 0, "formatted": formatted, "loss": roles[k] == loss_role,
+                        "loss_from": first, "loss_to": last, "ancestors": _spans(stack, lambda s: len(s["formatted"]), lambda s: s["offset"]), "parent": up["segment"] if up else -1, "ends": [],
+                        "ids": None, "id_offset": None, "id_position": None, "id_loss_from": None, "id_loss_to": None, "id_ancestors": None,
+                    }
+                    if tokenizer_path is not None:
+                        ids, first, last = encode_turn(tokenizer_path, roles[k], texts[k])
+                        spans = _spans(stack, lambda s: len(s["ids"]), lambda s: s["id_offset"])
+                        segment |= {"ids": ids, "id_offset": ids_used, "id_position": up["id_position"] + len(up["ids"]) if up else 0, "id_loss_from": first, "id_loss_to": last, "id_ancestors": spans}
+                        ids_used += len(ids)
                     rows.append(segment)
                     stack.append((path[8 * k : 8 * k + 8], segment))
                     used += len(formatted)
+                base = base or used  # what the first conversation takes is there anyway
                 stack[-1][1]["ends"].append(conv)
                 ended += 1  # so that equal conversations close a tree some time
         if rows:
@@ -124,7 +161,9 @@ def format_tree(conversations: DataFrame, tree_chars: int = 1 << 16, loss_role:
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows)
+    frame = pd.DataFrame(rows)
+    numbers = ["id_offset", "id_position", "id_loss_from", "id_loss_to"]
+    return frame.astype(dict.fromkeys(numbers, "Int64"))
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -134,7 +173,7 @@ def read_back(segments: DataFrame) -> DataFrame:
 
     def run(frames):
         for pdf in frames:
-            out = []
+            out, held = [], 0
             for s in pdf["s"]:
                 for last in s:
                     if len(last["ends"]):
@@ -145,7 +184,12 @@ def read_back(segments: DataFrame) -> DataFrame:
                         path.reverse()
                         formatted = "".join(x["formatted"] for x in path)
                         losses = [x["formatted"][int(x["loss_from"]) : int(x["loss_to"])] for x in path if x["loss"]]
-                        out.extend((conv, formatted, losses) for conv in last["ends"])
+                        for conv in last["ends"]:
+                            out.append((conv, formatted, losses))
+                            held += len(formatted)
+                            if held >= FRAME_CHARS:  # each conversation has its own copy of its whole path
+                                yield pd.DataFrame(out, columns=["conv_id", "formatted", "losses"])
+                                out, held = [], 0
             yield pd.DataFrame(out, columns=["conv_id", "formatted", "losses"])
 
     return trees.select("s").mapInPandas(run, "conv_id string, formatted string, losses array<string>")

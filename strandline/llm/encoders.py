@@ -50,7 +50,8 @@ class Encoder:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         ids = [*spec["model"]["vocab"].values()] if isinstance(spec["model"]["vocab"], dict) else [len(spec["model"]["vocab"])]
-        self.dtype = np.dtype("<u2" if max([0, *ids, *(x["id"] for x in spec.get("added_tokens", []))]) < 1 << 16 else "<u4")
+        self.size = 1 + max([0, *ids, *(x["id"] for x in spec.get("added_tokens", []))])  # the first number that is no id
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.counts_only = counts_only
         self.known: dict = {}
         self.core = self.split = None

@@ -75,6 +75,53 @@ def test_trees(spark, size):
     segments.unpersist()
 
 
+def test_tokens_are_those_of_each_conversation_alone(spark):
+    """Along each path the ids, what is visible of the stream, positions and loss, against plain formatting by the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    start, end = chat.control_ids(path)
+    assert start == library.get_vocab_size()
+    enc = lambda x: library.encode(x, add_special_tokens=False).ids
+    rows = rows_of() + [(300, t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(300)] + [(301, 0, "assistant", prose(1, 20_000)), (302, 0, "assistant", prose(1, 20_000)), (302, 1, "user", "x")]
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t is not None, t or 0, role or "", text or ""))
+    trees = defaultdict(list)
+    for s in chat.format_tree(conversations(spark, rows), tree_chars=2000, tokenizer_path=path).collect():
+        trees[s["tree"]].append(s)
+    seen = 0
+    for tree in trees.values():
+        tree.sort(key=lambda s: s["segment"])
+        stream = [x for s in tree for x in s["ids"]]
+        for s in tree:
+            assert s["id_offset"] == sum(len(x["ids"]) for x in tree[: s["segment"]])
+            visible = [x for iv in s["id_ancestors"] for x in range(iv["first"], iv["last"])]
+            assert s["id_position"] == len(visible)
+            for conv in s["ends"]:
+                want, loss = [], []
+                for _, _, role, text in sorted(by[None if conv is None else int(conv)]):
+                    body = enc(chat.escape(text))
+                    want += [start, *enc(chat.escape_role(role) + "\n"), *body, end, *enc("\n")]
+                    loss += body if role == "assistant" else []
+                assert [stream[x] for x in visible] + list(s["ids"]) == want
+                up, got = s, []
+                while up is not None:
+                    got = (list(up["ids"][up["id_loss_from"] : up["id_loss_to"]]) if up["loss"] else []) + got
+                    up = tree[up["parent"]] if up["parent"] >= 0 else None
+                assert got == loss
+                seen += 1
+    assert seen == len(by)
+
+
+def test_a_long_beginning_is_shared(spark):
+    rows = [(c, t, "user", prose(7, 2000) if t == 0 else f"{c}") for c in range(50) for t in range(2)]
+    segments = chat.format_tree(conversations(spark, rows).coalesce(1), tree_chars=1000).collect()
+    assert sum(s["parent"] == -1 for s in segments) <= 10 and len({s["tree"] for s in segments}) <= 10
+
+
 def test_no_conversations(spark):
     empty = conversations(spark, []).limit(0)
     assert chat.format_tree(empty).count() == 0 and chat.digests(chat.read_back(chat.format_tree(empty))).count() == 0
