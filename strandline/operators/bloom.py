@@ -79,11 +79,11 @@ def contains(filters: DataFrame, probes: DataFrame, tables: Sequence[int] = DEFA
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """(node_a, node_b, shared, either): bits set in both filters and in one at least, over all tables, of each pair
-    of nodes that share a bucket. a and b: node, tbl, bucket, bitmap."""
+    of nodes that share a bit; all other pairs share none. a and b: node, tbl, bucket, bitmap."""
     x = a.select(F.col("node").alias("node_a"), "tbl", "bucket", F.col("bitmap").alias("x"))
     y = b.select(F.col("node").alias("node_b"), "tbl", "bucket", F.col("bitmap").alias("y"))
     both = x.join(y, ["tbl", "bucket"]).select("node_a", "node_b", "tbl", "bucket", F.explode(F.array("x", "y")).alias("bitmap"))
-    shared = both.groupBy("node_a", "node_b", "tbl", "bucket").agg(F.bitmap_and_agg("bitmap").alias("m")).groupBy("node_a", "node_b").agg(F.sum(F.bitmap_count("m")).cast("bigint").alias("shared"))
+    shared = both.groupBy("node_a", "node_b", "tbl", "bucket").agg(F.bitmap_and_agg("bitmap").alias("m")).groupBy("node_a", "node_b").agg(F.sum(F.bitmap_count("m")).cast("bigint").alias("shared")).where("shared > 0")
     size = lambda df, name: occupied(df).select(F.col("node").alias(f"node_{name}"), F.col("occupied").alias(name))
     found = shared.join(size(a, "a"), "node_a").join(size(b, "b"), "node_b")
     return found.select("node_a", "node_b", "shared", (F.col("a") + F.col("b") - F.col("shared")).alias("either"), F.col("a").alias("bits_a"))

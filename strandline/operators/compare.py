@@ -33,15 +33,15 @@ def union_of(a: Column, b: Column) -> Column:
 
 
 def count_common(a: Column, b: Column) -> Column:
-    """How many hashes two sketches share, whatever their num."""
-    return F.size(F.array_intersect(a["mins"], b["mins"])).cast("bigint")
+    """How many hashes two sketches share, whatever their num; an error if they can't be compared, as in what follows."""
+    return checked(a, b, F.size(F.array_intersect(a["mins"], b["mins"])).cast("bigint"))
 
 
 def intersection(a: Column, b: Column) -> Column:
     """struct<common: the shared hashes within the (cut) union, size: that union's size>."""
     union = union_of(a, b)
     common = F.array_intersect(F.array_intersect(a["mins"], b["mins"]), union)
-    return F.struct(common.alias("common"), F.size(union).cast("bigint").alias("size"))
+    return checked(a, b, F.struct(common.alias("common"), F.size(union).cast("bigint").alias("size")))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -46,6 +46,15 @@ def get_name(name: str = "name") -> Column:
 get_filename = lambda: get_name("filename")
 
 
+def set_name(signatures: DataFrame, name: Column | str, field: str = "name") -> DataFrame:
+    """The signatures under another name; a string is the name itself."""
+    return signatures.withColumn(field, (F.lit(name) if isinstance(name, str) else name).cast("string"))
+
+
+def set_filename(signatures: DataFrame, name: Column | str) -> DataFrame:
+    return set_name(signatures, name, "filename")
+
+
 def first_sketch(signatures: str = "signatures") -> Column:
     """The first sketch, or an empty one of the usual parameters if there is none."""
     return F.coalesce(F.get(F.col(signatures), F.lit(0)), new_sketch())

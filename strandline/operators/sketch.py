@@ -13,8 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.hashing import SEED, bias_of, decode_hash, encode_hash
+from strandline.operators.compare import KEYS, checked
 
 SKETCH = "struct<num:bigint,ksize:int,is_protein:boolean,seed:decimal(20,0),max_hash:decimal(20,0),mins:array<bigint>,abunds:array<bigint>>"
 # The usual parameters of a new sketch.
@@ -100,32 +102,65 @@ def exploded(sketches: DataFrame, sketch: str = "sketch") -> DataFrame:
     return sketches.select(*others, F.explode(pairs).alias("p_")).select(*others, F.col("p_.hk").alias("hk"), F.col("p_.abund").alias("abund"))
 
 
-def merge_all(sketches: DataFrame, by: Sequence[str], num: int = DEFAULT_NUM, max_hash: int = 0, sketch: str = "sketch", **parameters) -> DataFrame:
+def merge_all(sketches: DataFrame, by: Sequence[str], num: int | None = None, sketch: str = "sketch", **expected) -> DataFrame:
     """(by, sketch): the merge of each group's sketches, counts of equal hashes summed. Counts are kept only
-    if every sketch of the group tracks them. The group's sketches must be compatible."""
-    tracked = sketches.groupBy(*by).agg(F.every(F.col(f"{sketch}.abunds").isNotNull()).alias("tracked_"))
-    rows = exploded(sketches.select(*by, sketch), sketch)
-    merged = build(rows, by, num, max_hash, track_abundance=True, count="abund", **parameters)
-    kept = merged.join(tracked, list(by)) if by else merged.crossJoin(F.broadcast(tracked))
-    abunds = F.when(F.col("tracked_"), F.col("sketch.abunds"))
-    return kept.select(*by, F.col("sketch").withField("abunds", abunds).alias("sketch"))
-
-
-def add_from(target: DataFrame, other: DataFrame, by: Sequence[str], num: int = DEFAULT_NUM, max_hash: int = 0, **parameters) -> DataFrame:
-    """(by, sketch): ``target`` with each hash of ``other`` added once, whatever its count there; nothing is compared."""
-    mine, theirs = exploded(target.select(*by, "sketch")), exploded(other.select(*by, "sketch")).withColumn("abund", F.lit(1).cast("bigint"))
-    return build(mine.unionByName(theirs), by, num, max_hash, count="abund", **parameters)
+    if every sketch of the group tracks them. The group's word size, molecule, threshold and seed stay; sketches that
+    differ in one are an error. ``num``: of the merge, or None for the least of the group's. ``expected``: values that
+    those parameters must have, if any are given."""
+    s = F.col(sketch)
+    if unknown := set(expected) - set(KEYS):
+        raise TypeError(f"no such parameter: {sorted(unknown)}")
+    ones = F.transform(s["mins"], lambda _: F.lit(1).cast("bigint"))
+    pairs = F.transform(F.arrays_zip(s["mins"].alias("hk"), F.coalesce(s["abunds"], ones).alias("abund")), lambda x: F.struct(x["hk"].alias("hk"), x["abund"].alias("abund")))
+    whole = F.array(F.struct(F.lit(None).cast("bigint").alias("hk"), F.lit(None).cast("bigint").alias("abund")))  # stands for the sketch itself
+    group = list(by) or ["all_"]
+    rows = sketches.withColumn("all_", F.lit(0)) if not by else sketches
+    rows = rows.select(*group, F.struct(*(s[k].alias(k) for k in KEYS)).alias("p_"), s["num"].alias("num_"), s["abunds"].isNotNull().alias("tracked_"), F.explode(F.concat(pairs, whole)).alias("e_"))
+    counted = rows.groupBy(*group, F.col("e_.hk").alias("hk")).agg(F.sum("e_.abund").alias("cnt"), F.min("p_").alias("low_"), F.max("p_").alias("high_"), F.min("num_").alias("num_"), F.min("tracked_").alias("tracked_"))
+    least = F.first(F.when(F.col("hk").isNull(), F.col("num_") if num is None else F.lit(num).cast("bigint")), True).over(Window.partitionBy(*group))
+    limited = counted.withColumn("num_", least).withColumn("rank_", F.row_number().over(Window.partitionBy(*group).orderBy("hk")))  # the null is the first
+    limited = limited.where((F.col("num_") == 0) | (F.col("rank_") <= F.col("num_") + 1))
+    of_all = lambda c: F.max(F.when(F.col("hk").isNull(), F.col(c)))
+    found = F.sort_array(F.collect_list(F.when(F.col("hk").isNotNull(), F.struct("hk", "cnt"))))
+    merged = limited.groupBy(*group).agg(found.alias("pairs_"), of_all("low_").alias("low_"), of_all("high_").alias("high_"), F.max("num_").alias("num_"), of_all("tracked_").alias("tracked_"))
+    fields = F.struct(F.col("num_").alias("num"), *(F.col(f"low_.{k}").alias(k) for k in ("ksize", "is_protein", "seed", "max_hash")), F.col("pairs_.hk").alias("mins"), F.when(F.col("tracked_"), F.col("pairs_.cnt")).alias("abunds"))
+    wanted = F.col("high_")
+    for k, value in expected.items():
+        wanted = wanted.withField(k, F.lit(str(value).lower()).cast(T.DataType.fromDDL(SKETCH)[k].dataType))
+    return merged.select(*by, checked(F.col("low_"), F.col("high_"), checked(wanted, F.col("high_"), fields.cast(SKETCH))).alias("sketch"))
+
+
+def add_from(target: DataFrame, other: DataFrame, by: Sequence[str], num: int | None = None, track_abundance: bool | None = None) -> DataFrame:
+    """(by, sketch): ``target`` with each hash of ``other`` added once, whatever its count there; nothing is compared, and
+    the target's word size, molecule, threshold and seed stay. ``num``: None for the target's. Counts are kept as the target
+    does, or as ``track_abundance`` says. Groups that the target hasn't are left out."""
+    mine, s = target.select(*by, "sketch"), F.col("sketch")
+    ones = F.transform(s["mins"], lambda _: F.lit(1).cast("bigint"))
+    stays = F.first(F.col("sketch"), True) if by else F.first("sketch")
+    held = mine.groupBy(*by).agg(stays.alias("target_"))
+    own = s.withField("abunds", F.coalesce(s["abunds"], ones))
+    theirs = other.select(*by, "sketch")
+    theirs = theirs.join(held, list(by)) if by else theirs.crossJoin(F.broadcast(held))
+    like = F.col("target_").withField("mins", F.filter(s["mins"], lambda x: (F.col("target_.max_hash") == 0) | (x <= encode_hash(F.col("target_.max_hash")))))
+    like = like.withField("abunds", ones)
+    added = theirs.select(*by, like.alias("sketch"))
+    added = added.withColumn("sketch", s.withField("abunds", F.transform(s["mins"], lambda _: F.lit(1).cast("bigint"))))
+    merged = merge_all(mine.withColumn("sketch", own).unionByName(added), by, num)
+    kept = merged.join(held, list(by)) if by else merged.crossJoin(F.broadcast(held))
+    counts = F.col("target_.abunds").isNotNull() if track_abundance is None else F.lit(track_abundance)
+    return kept.select(*by, s.withField("abunds", F.when(counts, s["abunds"])).alias("sketch"))
 
 
 def merge_pair(a: Column, b: Column) -> Column:
-    """The merge of two sketches in one row, cut to the first's ``num``; counts only if both have them."""
+    """The merge of two sketches in one row, cut to the first's ``num``; counts only if both have them. Sketches that
+    can't be compared are an error."""
     union = F.array_sort(F.array_union(a["mins"], b["mins"]))
     mins = F.when(a["num"] > 0, F.slice(union, 1, a["num"].cast("int"))).otherwise(union)
     count = lambda s, x: F.coalesce(F.get(s["abunds"], (F.array_position(s["mins"], x) - 1).cast("int")), F.lit(0))
     both = a["abunds"].isNotNull() & b["abunds"].isNotNull()
     safe = lambda s, x: F.when(F.array_contains(s["mins"], x), count(s, x)).otherwise(F.lit(0))
     abunds = F.when(both, F.transform(mins, lambda x: (safe(a, x) + safe(b, x)).cast("bigint")))
-    return a.withField("mins", mins).withField("abunds", abunds)
+    return checked(a, b, a.withField("mins", mins).withField("abunds", abunds))
 
 
 def from_values(values: Column, **parameters) -> Column:

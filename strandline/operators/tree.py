@@ -97,7 +97,8 @@ def _pairing(count: int, overlap: Callable[[int, int], int]) -> list[tuple[int,
 
 
 def scaffold(leaves: DataFrame, order: str = "id") -> DataFrame:
-    """(pos, level, id, is_leaf): leaves clustered into a binary tree, by shared hashes, level by level.
+    """(pos, level, id, is_leaf): leaves clustered into a binary tree, by shared hashes, level by level. A group that a
+    level leaves alone is the left child of a node of its own, so that all leaves are equally deep.
 
     Overlaps of each level's groups are an equi-join on hashes in Spark; the choice of pairs, one after the other
     by definition, is made on the driver, for up to MOST_LEAVES leaves. leaves: id, sketch; taken by ``order``."""
@@ -112,7 +113,7 @@ def scaffold(leaves: DataFrame, order: str = "id") -> DataFrame:
     place = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "id string, g long")
     hashes = exploded(leaves.select(F.col("id").cast("string").alias("id"), "sketch")).join(F.broadcast(place), "id").select("g", "hk").distinct().persist()
     groups: list = list(range(len(ids)))
-    while len(groups) > 1:
+    while len(groups) > 1 or not isinstance(groups[0], tuple):
         a, b = hashes.select(F.col("g").alias("a"), "hk"), hashes.select(F.col("g").alias("b"), "hk")
         counted = a.join(b, "hk").where("a > b").groupBy("a", "b").count().collect()
         shared = {(r["a"], r["b"]): r["count"] for r in counted}
@@ -127,8 +128,6 @@ def scaffold(leaves: DataFrame, order: str = "id") -> DataFrame:
         pos, level, group = stack.pop()
         if isinstance(group, int):
             rows.append((pos, level, ids[group], True))
-        elif len(group) == 1:
-            stack.append((pos, level, group[0]))
         else:
             rows.append((pos, level, None, False))
             stack += [(2 * pos + 1 + i, level + 1, part) for i, part in enumerate(group)]

@@ -102,8 +102,7 @@ def _bins(source: str, columns: str) -> str:
 FILTERS = f"{DOCS}, nodes AS (SELECT DISTINCT concat_ws('-', lang, source) AS node, hk FROM sh), {_bins('nodes', 'node')}"
 _OVERLAP = f"""WITH {FILTERS}, occ AS (SELECT node, count(*) AS n FROM bins GROUP BY node),
   o AS (SELECT x.node AS node_a, y.node AS node_b, count(*) AS shared FROM bins x JOIN bins y USING (tbl, bin) GROUP BY ALL),
-  c AS (SELECT DISTINCT x.node AS node_a, y.node AS node_b FROM (SELECT DISTINCT node, tbl, bin // 32768 AS k FROM bins) x JOIN (SELECT DISTINCT node, tbl, bin // 32768 AS k FROM bins) y USING (tbl, k)),
-  f AS (SELECT c.node_a, c.node_b, coalesce(o.shared, 0)::BIGINT AS shared, p.n AS a, q.n AS b FROM c LEFT JOIN o USING (node_a, node_b) JOIN occ p ON p.node = c.node_a JOIN occ q ON q.node = c.node_b)"""
+  f AS (SELECT o.node_a, o.node_b, o.shared, p.n AS a, q.n AS b FROM o JOIN occ p ON p.node = o.node_a JOIN occ q ON q.node = o.node_b)"""
 _MD5 = "md5('{k}' || string_agg((hk::HUGEINT + 9223372036854775808)::VARCHAR, '' ORDER BY hk))"
 _TWO = f"""WITH {SKETCHES}, two AS (SELECT id::VARCHAR AS name, 21 AS ksize, hk FROM sk
   UNION ALL SELECT id::VARCHAR, 30, hk FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hk) AS r FROM sk) WHERE r <= 10)"""

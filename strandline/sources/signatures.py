@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
+import lzma
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.hashing import encode_hash
 from strandline.operators.signature import DEFAULTS, METADATA, select
 from strandline.operators.sketch import SKETCH, build, exact_mins, md5sum
-from strandline.sources.codecs import compress, read_files
+from strandline.sources.codecs import read_files
 
 _FILE_SKETCH = "struct<num:bigint,ksize:int,seed:decimal(20,0),max_hash:decimal(20,0),mins:array<decimal(20,0)>,md5sum:string,abundances:array<decimal(20,0)>,molecule:string>"
 FILE = f"array<struct<`class`:string,email:string,hash_function:string,filename:string,name:string,license:string,version:double,signatures:array<{_FILE_SKETCH}>>>"
@@ -51,8 +60,11 @@ def parse(df: DataFrame, json: str, verify_md5: bool = False, keep: tuple[str, .
 
 
 def read_signatures(spark: SparkSession, path: str | list[str], verify_md5: bool = False) -> DataFrame:
-    """All signatures of files; whether a file is compressed is read from its first bytes."""
-    return parse(read_files(spark, path).select(F.col("content").cast("string").alias("json")), "json", verify_md5)
+    """All signatures of files; whether a file is compressed is read from its first bytes. A file may hold several arrays,
+    one after the other: in JSON nothing but a comma can stand between two arrays within another."""
+    text = F.trim(F.regexp_replace(F.col("content").cast("string"), r"[\r\n\t]+", " "))
+    arrays = F.split(text, r"(?<=\]) *(?=\[)")
+    return parse(read_files(spark, path).select(F.explode(arrays).alias("json")), "json", verify_md5)
 
 
 def load_signatures(spark: SparkSession, path: str | list[str], ksize: int = 0, moltype: str | None = None, scaled: int | None = None) -> DataFrame:
@@ -72,12 +84,28 @@ def to_json_array(signatures: DataFrame) -> DataFrame:
 
 
 def write_signatures(signatures: DataFrame, path: str, codec: str = "none") -> None:
-    """JSON array files, one signature each, in a folder, in any of the formats that reading knows."""
+    """JSON files in a folder, an array of one signature a line, in any of the formats that reading knows. Spark writes all
+    but ``lzma``, of which each task writes its file itself, through pyarrow's file systems."""
     rows = to_json(signatures).select(F.concat(F.lit("["), "json", F.lit("]")).alias("value"))
     if codec in ("none", "gzip", "bzip2"):
         rows.write.option("compression", codec).option("lineSep", "\n").text(path)
-    else:  # Spark has no writer for this one: the compressed bytes go into a column
-        rows.select(compress(F.col("value").cast("binary"), codec).alias("content")).write.parquet(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]):
+        some = (batch for batch in batches if batch.num_rows)
+        if (first := next(some, None)) is not None:
+            system, folder = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+            name = f"{folder}/part-{TaskContext.get().partitionId():05d}.json.xz"
+            system.create_dir(folder)
+            packer, unfinished = lzma.LZMACompressor(preset=9), f"{folder}/_{uuid.uuid4().hex}"
+            with system.open_output_stream(unfinished) as out:
+                for batch in itertools.chain([first], some):
+                    out.write(packer.compress("".join(f"{x}\n" for x in batch.column(0).to_pylist()).encode()))
+                out.write(packer.flush())
+            system.move(unfinished, name)  # a task that was tried again replaces its file
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+
+    rows.mapInArrow(write, "file string").count()
 
 
 def read_written(spark: SparkSession, path: str) -> DataFrame:

@@ -83,5 +83,7 @@ def test_scaffold(spark):
     found = {r["id"]: r["pos"] for r in made if r["is_leaf"]}
     assert sorted(found) == ["0", "1", "2", "3", "4"]
     assert tree.scaffold(leaves(spark, sets).where("id < 0")).count() == 0
+    positions = lambda n: sorted(r["pos"] for r in tree.scaffold(leaves(spark, sets[:n])).collect() if r["is_leaf"])
+    assert positions(1) == [1] and positions(3) == [3, 5, 6]  # one left alone has a node of its own, so it is as deep as the others
     assert tree._pairing(4, lambda i, j: int({i, j} in ({3, 1}, {2, 0}))) == [(3, 1), (2, 0)]
     assert tree._pairing(3, lambda i, j: 0) == [(2, 0), (1,)]

@@ -110,3 +110,36 @@ def test_arrays_are_cut_before_the_shuffle(spark):
     for options in ({"num": 2}, {"num": 0, "max_hash": (1 << 63) + 5}):
         whole = sketch.build(rows.select("id", F.explode("h").alias("hk")), ["id"], **options)
         assert sketch.build_arrays(rows, ["id"], "h", **options).collect() == whole.collect()
+
+
+def test_merging_keeps_parameters(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 5), ("b", 5), ("b", 9)], "g string, hk long")
+    made = sketch.build(rows, ["g"], num=0, max_hash=(1 << 64) - 1, ksize=31, seed=7, is_protein=True).withColumn("all", F.lit(1))
+    merged = sketch.merge_all(made, ["all"]).first()["sketch"]
+    assert (merged["ksize"], int(merged["seed"]), merged["num"], int(merged["max_hash"]), merged["is_protein"], merged["mins"]) == (31, 7, 0, (1 << 64) - 1, True, [1, 5, 9])
+    added = sketch.add_from(made.where("g = 'a'"), made.where("g = 'b'"), ["all"]).first()["sketch"]
+    assert (added["ksize"], int(added["seed"]), added["num"], added["mins"], added["abunds"]) == (31, 7, 0, [1, 5, 9], None)
+    least = sketch.merge_all(sketch.build(rows, ["g"], num=2, track_abundance=True).withColumn("all", F.lit(1)), ["all"]).first()["sketch"]
+    assert (least["num"], least["mins"], least["abunds"]) == (2, [1, 5], [1, 2])
+
+
+@pytest.mark.parametrize("other", [{"ksize": 30}, {"is_protein": True}, {"seed": 1}, {"num": 0, "max_hash": 99}])
+def test_what_differs_is_not_merged(spark, other):
+    rows = spark.createDataFrame([("a", -9223372036854775807)], "g string, hk long")
+    two = sketch.build(rows, ["g"]).unionByName(sketch.build(rows, ["g"], **other))
+    with pytest.raises(Exception, match="Mismatch"):
+        sketch.merge_all(two, ["g"]).collect()
+    pair = sketch.build(rows, ["g"]).withColumnRenamed("sketch", "x").join(sketch.build(rows, ["g"], **other).withColumnRenamed("sketch", "y"), "g")
+    with pytest.raises(Exception, match="Mismatch"):
+        sketch.merge_all(sketch.build(rows, ["g"]), ["g"], ksize=99).collect()
+    for made in (sketch.merge_pair(F.col("x"), F.col("y")), compare.jaccard(F.col("x"), F.col("y")), compare.count_common(F.col("x"), F.col("y"))):
+        with pytest.raises(Exception, match="Mismatch"):
+            pair.select(made.alias("m")).collect()
+
+
+def test_names_can_be_set(spark):
+    from strandline.operators import signature
+
+    made = signature.new_signatures(sketch.build(spark.createDataFrame([("a", 1)], "id string, hk long"), ["id"]), "id")
+    got = signature.set_filename(signature.set_name(made, "other"), F.concat("name", F.lit(".fa"))).first()
+    assert (got["name"], got["filename"]) == ("other", "other.fa")

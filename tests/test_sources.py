@@ -108,3 +108,12 @@ def test_batches_fold_into_the_same_sketch(spark):
         state = fold_batch(state, part, ["id"], num=0, max_hash=(1 << 63) + 12, track_abundance=True).persist()
     whole = sketch.build(rows, ["id"], num=0, max_hash=(1 << 63) + 12, track_abundance=True)
     assert state.collect() == whole.collect()
+
+
+@pytest.mark.parametrize("codec", ["none", "gzip", "bzip2", "lzma"])
+def test_many_signatures_come_back(spark, tmp_path, codec):
+    made = sketch.build(spark.createDataFrame([(str(i), h) for i in range(30) for h in range(i, i + 5)], "id string, hk long"), ["id"], num=9, ksize=31)
+    some = signature.new_signatures(made, "id").repartition(3)
+    signatures.write_signatures(some, str(tmp_path / "out"), codec)
+    rows = lambda df: sorted((r["name"], [(x["ksize"], list(x["mins"])) for x in r["signatures"]]) for r in df.collect())
+    assert rows(signatures.read_signatures(spark, str(tmp_path / "out"))) == rows(some) and len(rows(some)) == 30
