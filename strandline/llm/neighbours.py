@@ -146,58 +146,84 @@ def _hashed(rows: DataFrame, tables: int, probes: int, turns: int) -> DataFrame:
     return rows.mapInPandas(hash_all, "id long, dim int, raw binary, tb array<bigint>").select("id", "dim", "raw", F.explode("tb").alias("tb"))
 
 
-#: How far apart two sums of the same products in another order can be.
-ROUNDING = 1e-9
-
-
-def _best(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, near: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` best candidates of each query by the exact cosine, ties by id. near: the cosines, but for rounding."""
-    kept = min(k, near.shape[1])
-    least = np.partition(near, near.shape[1] - kept, axis=1)[:, near.shape[1] - kept]
-    row, col = np.nonzero((near >= least[:, None] - ROUNDING) & np.isfinite(near))
-    q_sum, c_sum, score = (q * q).sum(1), (c * c).sum(1), np.empty(len(row))
-    for at in range(0, len(row), 1 << 14):
-        i, j = row[at : at + (1 << 14)], col[at : at + (1 << 14)]
-        score[at : at + (1 << 14)] = np.einsum("ij,ij->i", q[i], c[j]) / np.sqrt(q_sum[i] * c_sum[j])
-    order = np.lexsort((c_id[col], -score, row))
-    row, col, score = row[order], col[order], score[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    some = place < k
-    compared = np.where(place == 0, np.isfinite(near).sum(1)[row], 0)  # told once for each query and meeting
-    return pd.DataFrame({"query_id": q_id[row], "vec_id": c_id[col], "score": score, "compared": compared})[some]
+#: Pairs scored at a time.
+PAIRS = 1 << 17
+_NOTHING = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0), "compared": np.zeros(0, np.int64)}
+
+
+def _best(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """Of each query its ``k`` best different candidates, ties by id; the first of them carries all it was compared with."""
+    if not found:
+        return pd.DataFrame(_NOTHING)
+    query, vec, score, compared = (np.concatenate([f[c].to_numpy() for f in found]) for c in _NOTHING)
+    order = np.lexsort((vec, -score, query))
+    query, vec, score, compared = query[order], vec[order], score[order], compared[order]
+    first = np.searchsorted(query, query)
+    total = np.concatenate([[0], np.cumsum(compared)])
+    total = total[np.searchsorted(query, query, "right")] - total[first]
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])
+    place = np.cumsum(new) - 1
+    place -= place[first]
+    some = new & (place < k)
+    return pd.DataFrame({"query_id": query[some], "vec_id": vec[some], "score": score[some], "compared": np.where(place == 0, total, 0)[some]})
 
 
 def _search(k: int):
-    """A part's queries against its candidates, each side of bounded size: the ``k`` best of each query."""
+    """The buckets of a bin, each of bounded size: the ``k`` best of each query in it, by the exact cosine."""
+
+    def named(frame: pd.DataFrame) -> np.ndarray:  # should two buckets share a name, queries of one meet the other's too
+        parts = zip(("tb", "qp", "cp"), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9), strict=True)
+        return sum(frame[c].to_numpy().astype(np.int64).astype(np.uint64) * np.uint64(m) for c, m in parts)
 
     def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(candidates):
-            dim = int(queries["dim"].iloc[0])
-            (q, q_unit), (c, c_unit) = _doubles(queries["raw"], dim), _doubles(candidates["raw"], dim)
-            q_id, c_id = queries["id"].to_numpy(), candidates["id"].to_numpy()
-            for at in range(0, len(q_id), 512):
-                some = slice(at, at + 512)
-                near = q_unit[some] @ c_unit.T
-                near[q_id[some, None] == c_id[None, :]] = -np.inf
-                out.append(_best(q[some], q_id[some], c, c_id, near, k))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0), "compared": np.zeros(0, np.int64)})
+        found: list[pd.DataFrame] = []
+        for dim in queries["dim"].unique():
+            q_rows, c_rows = queries[queries["dim"] == dim], candidates[candidates["dim"] == dim]
+            if not len(c_rows):
+                continue
+            q, c = _doubles(q_rows["raw"], int(dim))[0], _doubles(c_rows["raw"], int(dim))[0]
+            q_id, c_id, q_key, c_key = q_rows["id"].to_numpy(), c_rows["id"].to_numpy(), named(q_rows), named(c_rows)
+            q_sum, c_sum = (q * q).sum(1), (c * c).sum(1)
+            order = np.argsort(c_key, kind="stable")
+            start, stop = (np.searchsorted(c_key[order], q_key, side) for side in ("left", "right"))
+            met = stop - start
+            ends = np.cumsum(met)
+            for at in range(0, int(ends[-1]), PAIRS):
+                pair = np.arange(at, min(at + PAIRS, int(ends[-1])))
+                i = np.searchsorted(ends, pair, "right")
+                j = order[start[i] + pair - (ends[i] - met[i])]
+                other = q_id[i] != c_id[j]
+                i, j = i[other], j[other]
+                score = np.einsum("ij,ij->i", q[i], c[j]) / np.sqrt(q_sum[i] * c_sum[j])
+                found.append(pd.DataFrame({"query_id": q_id[i], "vec_id": c_id[j], "score": score, "compared": np.ones(len(i), np.int64)}))
+                if len(found) > 8:
+                    found = [_best(found, k)]
+        return _best(found, k)
 
     return search
 
 
+#: A bin has about so many rows of either side.
+BIN_ROWS = 8192
+
+
 def _meet(queries: DataFrame, candidates: DataFrame, k: int, block: int) -> DataFrame:
     """(query_id, vec_id, score, compared) found in common buckets, each bucket in parts of about ``block`` on either
-    side. Vectors in buckets that no query looks into go no further."""
+    side. Vectors in buckets that no query looks into go no further. Buckets can be many and small: they are handed
+    over in bins."""
     key = ["dim", "tb"]
-    parts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    parts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
     sizes = materialise(parts(candidates, "c_parts").join(parts(queries, "q_parts"), key), "parts")
+    rows = sizes.agg(F.sum(F.col("c_parts_n") * F.col("q_parts") + F.col("q_parts_n") * F.col("c_parts"))).first()[0] or 0
+    bins = 1 + rows // BIN_ROWS
     hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = join_small(queries, sizes, key).select("id", *key, "raw", hashed("q_parts").alias("qp"), every("c_parts").alias("cp"))
-    c = join_small(candidates, sizes, key).select("id", *key, "raw", hashed("c_parts").alias("cp"), every("q_parts").alias("qp"))
-    by = [*key, "qp", "cp"]
-    return q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(_search(k), "query_id long, vec_id long, score double, compared long")
+    sizes = sizes.drop("c_parts_n", "q_parts_n")
+    bin_of = F.pmod(F.xxhash64(*key, "qp", "cp"), F.lit(bins))
+    q = join_small(queries, sizes, key).select("id", *key, "raw", hashed("q_parts").alias("qp"), every("c_parts").alias("cp")).withColumn("bin", bin_of)
+    c = join_small(candidates, sizes, key).select("id", *key, "raw", hashed("c_parts").alias("cp"), every("q_parts").alias("qp")).withColumn("bin", bin_of)
+    return q.groupBy("bin").cogroup(c.groupBy("bin")).applyInPandas(_search(k), "query_id long, vec_id long, score double, compared long")
 
 
 def settings(pool: DataFrame, k: int, sample: int, recall: float) -> tuple[int, int, int] | None:
