@@ -204,8 +204,9 @@ def _search(k: int):
     return search
 
 
-#: A bin has about so many rows of either side.
-BIN_ROWS = 8192
+#: A bin has about so many bytes of vectors, as doubles, of both sides; there are BINS at least, so that tasks have work.
+#: Each bin hands on a query's best, so few large ones hand on less than many small ones.
+BIN_BYTES, BINS = 16 << 20, 128
 
 
 def _meet(queries: DataFrame, candidates: DataFrame, k: int, block: int) -> DataFrame:
@@ -215,8 +216,8 @@ def _meet(queries: DataFrame, candidates: DataFrame, k: int, block: int) -> Data
     key = ["dim", "tb"]
     parts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
     sizes = materialise(parts(candidates, "c_parts").join(parts(queries, "q_parts"), key), "parts")
-    rows = sizes.agg(F.sum(F.col("c_parts_n") * F.col("q_parts") + F.col("q_parts_n") * F.col("c_parts"))).first()[0] or 0
-    bins = 1 + rows // BIN_ROWS
+    size = sizes.agg(F.sum((F.col("c_parts_n") * F.col("q_parts") + F.col("q_parts_n") * F.col("c_parts")) * F.col("dim") * 8)).first()[0] or 0
+    bins = max(BINS, 1 + size // BIN_BYTES)
     hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sizes = sizes.drop("c_parts_n", "q_parts_n")
