@@ -25,6 +25,7 @@ for _a, _b in zip("ACGTacgt", "TGCATGCA", strict=True):
 _BASE = np.full(256, 4, np.uint8)
 for _i, _a in enumerate(CODON_BASES):
     _BASE[ord(_a)] = _i
+PIECE = 1 << 22  # bytes of a matrix of words
 _AMINO = np.frombuffer(AMINO_ACIDS.encode(), np.uint8)
 
 
@@ -84,22 +85,31 @@ def six_frames(seq: Column) -> Column:
 
 
 def _translate(b: np.ndarray) -> np.ndarray:
-    codes = _BASE[b[: len(b) // 3 * 3]].reshape(-1, 3).astype(np.int64)
-    known = (codes < 4).all(axis=1)
-    return _AMINO[codes[known] @ np.array([16, 4, 1])]
+    def part(x: np.ndarray) -> np.ndarray:
+        codes = _BASE[x].reshape(-1, 3).astype(np.int64)
+        return _AMINO[codes[(codes < 4).all(axis=1)] @ np.array([16, 4, 1])]
+
+    whole = len(b) // 3 * 3
+    return np.concatenate([part(b[at : min(whole, at + 3 * PIECE)]) for at in range(0, max(1, whole), 3 * PIECE)])
 
 
 def _windows(b: np.ndarray, k: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(b, k) if len(b) >= k else np.zeros((0, k), np.uint8)
 
 
-def dna_hashes(seq: bytes, k: int, seed: int = SEED) -> np.ndarray:
-    """Hashes of the canonical k-mers in order; windows with other characters than ACGT are left out."""
-    b = _UPPER[np.frombuffer(seq, np.uint8)]
+def _word_hashes(b: np.ndarray, k: int, seed: int, run: Callable[[np.ndarray, int, int], np.ndarray]) -> np.ndarray:
+    """``run`` over pieces of ``b`` that overlap by a word less one, so that memory follows the piece and not the sequence."""
+    if len(b) < k:
+        return np.zeros(0, np.uint64)
+    step = max(1, PIECE // k)
+    return np.concatenate([run(b[at : at + step + k - 1], k, seed) for at in range(0, len(b) - k + 1, step)])
+
+
+def _canonical_hashes(b: np.ndarray, k: int, seed: int) -> np.ndarray:
     forward = _windows(b, k)
     backward = _windows(_COMPLEMENT[b[::-1]], k)[::-1]
     bad = np.concatenate([[0], np.cumsum(_BASE[b] > 3)])
-    good = (bad[k:] - bad[:-k] == 0)[: len(forward)] if len(forward) else np.zeros(0, bool)
+    good = bad[k:] - bad[:-k] == 0
     forward, backward = forward[good], backward[good]
     differ = forward != backward
     first = differ.argmax(axis=1)
@@ -108,11 +118,17 @@ def dna_hashes(seq: bytes, k: int, seed: int = SEED) -> np.ndarray:
     return murmur64_rows(np.ascontiguousarray(np.where(lesser, forward, backward)), seed)
 
 
+def dna_hashes(seq: bytes, k: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the canonical k-mers in order; windows with other characters than ACGT are left out."""
+    return _word_hashes(_UPPER[np.frombuffer(seq, np.uint8)], k, seed, _canonical_hashes)
+
+
 def protein_hashes(seq: bytes, k: int, seed: int = SEED) -> np.ndarray:
     """Hashes of the words of k / 3 residues in all six frames."""
     b = _UPPER[np.frombuffer(seq, np.uint8)]
     strands = (b, _COMPLEMENT[b[::-1]])
-    return np.concatenate([murmur64_rows(np.ascontiguousarray(_windows(_translate(s[i:]), k // 3)), seed) for s in strands for i in range(3)])
+    plain = lambda part, n, seed: murmur64_rows(np.ascontiguousarray(_windows(part, n)), seed)
+    return np.concatenate([_word_hashes(_translate(s[i:]), k // 3, seed, plain) for s in strands for i in range(3)])
 
 
 def sequence_hashes(seq: Column, ksize: int, is_protein: bool = False, seed: int = SEED, force: bool = False, max_hk: int | None = None) -> Column:

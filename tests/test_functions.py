@@ -98,3 +98,11 @@ def test_sequence_columns(spark):
 def test_error_codes():
     assert [int(errors.error_code(x)) for x in (None, errors.MismatchSeed("x"), errors.SketchError("x"), KeyError("x"))] == [0, 104, 2, 4]
     assert int(errors.error_code(UnicodeDecodeError("utf-8", b"", 0, 1, ""))) == 100002
+
+
+def test_long_sequences_go_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    seq = bytes(rng.choice(list(b"ACGTacgtN"), 3000, p=[0.12] * 8 + [0.04]).tolist())
+    whole = [f(x, k).tolist() for f in (sequence.dna_hashes, sequence.protein_hashes) for k in (6, 21) for x in (seq, seq[:20], b"")]
+    monkeypatch.setattr(sequence, "PIECE", 100)
+    assert [f(x, k).tolist() for f in (sequence.dna_hashes, sequence.protein_hashes) for k in (6, 21) for x in (seq, seq[:20], b"")] == whole
