@@ -63,7 +63,7 @@ def unique_hashes(rows: DataFrame, tables: Sequence[int] = DEFAULT_TABLES, by: S
     return firsts.groupBy(*by, "first_").count().groupBy(*by).agg(F.count(F.lit(1)).alias("unique_kmers"))
 
 
-def _bit_is_set(bitmap: str = "bitmap", bit: str = "bit") -> Column:
+def bit_is_set(bitmap: str = "bitmap", bit: str = "bit") -> Column:
     """Whether the bit is 1, by the hexadecimal digit that holds it: four bits a digit, a byte's lower four last."""
     digit = F.ascii(F.substring(F.hex(F.substring(bitmap, (F.floor(F.col(bit) / 8) + 1).cast("int"), F.lit(1))), F.when(F.col(bit) % 8 < 4, 2).otherwise(1), F.lit(1)))
     value = digit - F.when(digit > 57, 55).otherwise(48)
@@ -73,7 +73,7 @@ def _bit_is_set(bitmap: str = "bitmap", bit: str = "bit") -> Column:
 def contains(filters: DataFrame, probes: DataFrame, tables: Sequence[int] = DEFAULT_TABLES, by: Sequence[str] = ("node",), hk: str = "hk") -> DataFrame:
     """(by, hk) of each node of ``filters`` and each distinct hash of ``probes`` that has all its bins set there."""
     asked = bins(probes.select(hk).distinct(), tables, (), hk).withColumn("bucket", F.bitmap_bucket_number(F.col("bin") + 1)).withColumn("bit", F.bitmap_bit_position(F.col("bin") + 1))
-    hits = filters.join(asked, ["tbl", "bucket"]).where(_bit_is_set()).groupBy(*by, "hk").agg(F.count(F.lit(1)).alias("n"))
+    hits = filters.join(asked, ["tbl", "bucket"]).where(bit_is_set()).groupBy(*by, "hk").agg(F.count(F.lit(1)).alias("n"))
     return hits.where(F.col("n") == len(tables)).select(*by, "hk")
 
 

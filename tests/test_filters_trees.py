@@ -87,3 +87,58 @@ def test_scaffold(spark):
     assert positions(1) == [1] and positions(3) == [3, 5, 6]  # one left alone has a node of its own, so it is as deep as the others
     assert tree._pairing(4, lambda i, j: int({i, j} in ({3, 1}, {2, 0}))) == [(3, 1), (2, 0)]
     assert tree._pairing(3, lambda i, j: 0) == [(2, 0), (1,)]
+
+
+def families(n, seed, size=30):
+    """Sets in families of four that share most of what they hold, next to one another in the tree."""
+    rng = np.random.default_rng(seed)
+    cores = [rng.integers(0, 10**6, size).tolist() for _ in range(-(-n // 4))]
+    return [set(cores[i // 4]) | set(rng.integers(0, 10**6, 6).tolist()) for i in range(n)]
+
+
+def test_descent_compares_few_and_loses_nothing(spark):
+    for n, d, stride in ((21, 2, 2), (13, 3, 8), (1, 2, 8)):
+        some = leaves(spark, families(n, n)).withColumn("pos", F.col("id") + (n - 1 if d == 2 else -(-(n - 1) // (d - 1))))
+        asked = some.select("id", "sketch")
+        linear, by_tree = ({tuple(r) for r in x.collect()} for x in (search.find(asked, asked, 0.3), tree.tree_find(some, asked, 0.3, d=d)))
+        came = {tuple(r) for r in tree.reached(some, asked, 0.3, d=d, stride=stride).collect()}
+        assert linear == by_tree and {x[:2] for x in linear} <= came and len(linear) >= n
+        assert n < 13 or len(came) < n * n / 2
+
+
+def test_descent_with_empty_and_other_sketches(spark):
+    some = leaves(spark, families(6, 3))
+    empty = some.where("id = 0").select(F.lit(6).cast("long").alias("id"), sketch.new_sketch(num=500).alias("sketch"), F.lit(11).cast("long").alias("pos"))
+    other = some.withColumn("sketch", F.when(F.col("id") == 2, F.col("sketch").withField("ksize", F.lit(31))).otherwise(F.col("sketch"))).unionByName(empty)
+    asked = other.select("id", "sketch")
+    linear, by_tree = ({tuple(r) for r in x.collect()} for x in (search.find(asked, asked, 0.2), tree.tree_find(other, asked, 0.2)))
+    assert linear == by_tree and linear
+
+
+def plain_tree(sets):
+    """Clustering restated over Python sets: (id, position) of the leaves."""
+    level = [(set(s), i) for i, s in enumerate(sets)]
+    while len(level) > 1 or not isinstance(level[0][1], tuple):
+        groups = tree._pairing(len(level), lambda i, j, level=level: len(level[i][0] & level[j][0]))
+        level = [(set().union(*(level[i][0] for i in g)), tuple(level[i][1] for i in g)) for g in groups]
+
+    def places(node, pos):
+        return {node: pos} if isinstance(node, int) else {k: v for i, x in enumerate(node) for k, v in places(x, 2 * pos + 1 + i).items()}
+
+    return places(level[0][1], 0)
+
+
+def test_clustering_of_eighty_groups(spark):
+    rng = np.random.default_rng(5)
+    sets = [set(rng.integers(0, 900, 40).tolist()) | {1} for _ in range(77)] + [{5000}, {5001}, {5002}]
+    made = tree.scaffold(leaves(spark, sets)).where("is_leaf").collect()
+    assert {int(r["id"]): r["pos"] for r in made} == plain_tree(sets)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 12), st.data())
+def test_pairs_from_overlaps(n, data):
+    shared = {(i, j): data.draw(st.integers(0, 3)) for i in range(n) for j in range(i)}
+    some = [(i, j, x) for (i, j), x in shared.items() if x]
+    a, b, x = (np.array([r[k] for r in some], np.int64) for k in range(3))
+    assert tree.pair_up(n, a, b, x) == tree._pairing(n, lambda i, j: shared[max(i, j), min(i, j)])
