@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.hashing import SEED, bias_of, decode_hash, encode_hash
+from strandline.functions.sequence import once
 from strandline.operators.compare import KEYS, checked
 
 SKETCH = "struct<num:bigint,ksize:int,is_protein:boolean,seed:decimal(20,0),max_hash:decimal(20,0),mins:array<bigint>,abunds:array<bigint>>"
@@ -82,16 +83,25 @@ def build(rows: DataFrame, by: Sequence[str], num: int = DEFAULT_NUM, max_hash:
     return grouped.select(*by, cast_sketch(F.col("pairs_.hk"), abunds, num, ksize, is_protein, seed, max_hash).alias("sketch"))
 
 
-def build_arrays(rows: DataFrame, by: Sequence[str], hashes: str, num: int = DEFAULT_NUM, max_hash: int = 0, **parameters) -> DataFrame:
-    """As ``build``, without counts, of rows that each hold an array of hashes. What a row adds to its group's
-    smallest is among its own smallest, so each row is cut before it is taken apart and shuffled."""
+def build_arrays(rows: DataFrame, by: Sequence[str], hashes: str, num: int = DEFAULT_NUM, max_hash: int = 0, track_abundance: bool = False, **parameters) -> DataFrame:
+    """As ``build``, of rows that each hold an array of hashes. What a row adds to its group's smallest is among its
+    own smallest, and a hash of the group's smallest is so in every row that has it; so each row is counted and cut
+    before it is taken apart and shuffled."""
     num, max_hash = normal_mode(num, max_hash)
-    mine = F.sort_array(F.array_distinct(F.col(hashes)))
-    if max_hash:
-        mine = F.filter(F.col(hashes), lambda x: x <= F.lit(bias_of(max_hash)))
-    elif num < 1 << 31:
-        mine = F.slice(mine, 1, num)
-    return build(rows.select(*by, F.explode(mine).alias("hk")), by, num, max_hash, **parameters)
+    mine = F.filter(F.col(hashes), lambda x: x <= F.lit(bias_of(max_hash)) if max_hash else x.isNotNull())
+    cut = (lambda x: x) if max_hash or num >= 1 << 31 else (lambda x: F.slice(x, 1, num))
+    if not track_abundance:
+        some = mine if max_hash else cut(F.sort_array(F.array_distinct(mine)))
+        return build(rows.select(*by, F.explode(some).alias("hk")), by, num, max_hash, **parameters)
+
+    def runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        counted = lambda at: F.transform(cut(at), lambda i, j: F.struct(F.get(s, i).alias("hk"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("bigint").alias("row_count_")))
+        return once(starts, counted)
+
+    pairs = rows.select(*by, F.explode(once(F.sort_array(mine), runs)).alias("p_")).select(*by, "p_.*")
+    return build(pairs, by, num, max_hash, track_abundance=True, count="row_count_", **parameters)
 
 
 def exploded(sketches: DataFrame, sketch: str = "sketch") -> DataFrame:

@@ -48,8 +48,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sketches(df: DataFrame, by: list[str], **options) -> DataFrame:
-    if options.get("track_abundance"):
-        return sketch.build(hashed(df, by), by, **options)
     return sketch.build_arrays(shingled(df, by), by, "hashes", **options)
 
 

@@ -341,11 +341,11 @@ def _parse_files(frames):
 
 
 def _signatures(spark: SparkSession, d: str) -> DataFrame:
-    docs, proteins = inputs.document_sketches(spark, d, track_abundance=True), inputs.document_sketches(spark, d, num=10)
-    both = docs.join(proteins.select("id", F.col("sketch").withField("is_protein", F.lit(True)).withField("ksize", F.lit(30)).alias("p")), "id")
-    made = signature.new_signatures(both.withColumn("id", F.col("id").cast("string")), "id")
-    second = both.select(F.col("id").cast("string").alias("name"), "p")
-    return made.join(second, "name").withColumn("signatures", F.array_append("signatures", F.col("p"))).drop("p")
+    """Two sketches a document: the counted one, and its ten smallest hashes as protein words."""
+    made = signature.new_signatures(inputs.document_sketches(spark, d, track_abundance=True).withColumn("id", F.col("id").cast("string")), "id")
+    first = signature.first_sketch()
+    few = first.withField("num", F.lit(10).cast("bigint")).withField("mins", F.slice(first["mins"], 1, 10)).withField("abunds", F.lit(None).cast("array<bigint>"))
+    return made.withColumn("signatures", F.array_append("signatures", few.withField("is_protein", F.lit(True)).withField("ksize", F.lit(30))))
 
 
 @query

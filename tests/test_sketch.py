@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,3 +144,14 @@ def test_names_can_be_set(spark):
     made = signature.new_signatures(sketch.build(spark.createDataFrame([("a", 1)], "id string, hk long"), ["id"]), "id")
     got = signature.set_filename(signature.set_name(made, "other"), F.concat("name", F.lit(".fa"))).first()
     assert (got["name"], got["filename"]) == ("other", "other.fa")
+
+
+def test_counted_arrays_are_the_rows(spark):
+    rng = np.random.default_rng(8)
+    data = [(i % 3, [int(x) for x in rng.integers(-20, 20, n)]) for i, n in enumerate((0, 1, 30, 60, 5, 40, 2))] + [(1, None), (2, [None, 3, 3])]
+    arrays = spark.createDataFrame(data, "g int, hashes array<bigint>")
+    rows = arrays.select("g", F.explode("hashes").alias("hk"))
+    for options in ({"num": 7}, {"num": 500}, {"num": 0, "max_hash": 2**63 + 4}):
+        for counts in (True, False):
+            got, want = (sorted(map(str, x.collect())) for x in (sketch.build_arrays(arrays, ["g"], "hashes", track_abundance=counts, **options), sketch.build(rows, ["g"], track_abundance=counts, **options)))
+            assert got == want and len(got) == 3
