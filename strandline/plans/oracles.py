@@ -121,8 +121,13 @@ _FRAMES = f"""strands AS (SELECT id, 0 AS s, upper(seq) AS seq FROM ({ROUGH}) UN
   frames AS (SELECT id, s + f AS frame, substr(seq, f + 1) AS seq FROM strands, (VALUES (0), (1), (2)) AS t(f)),
   proteins AS (SELECT id, frame::BIGINT AS frame, array_to_string(list_filter(list_transform(range(0, length(seq) // 3), lambda i: map_extract({_CODONS}, substr(seq, (3 * i + 1)::INT, 3))[1]), lambda x: x IS NOT NULL), '') AS protein FROM frames)"""
 
+_WORDS = f"(SELECT DISTINCT unnest({_PLAIN}) AS word FROM documents)"
+# One branch for each number of whole blocks: words of up to 127 bytes. A longer one would show as a missing row.
+_LONG = " UNION ALL ".join(f"SELECT word, hash::VARCHAR AS hash FROM ({murmur(f'(SELECT word FROM {_WORDS} WHERE length(word) // 16 = {n})', 'word', n)})" for n in range(1, 8))
+
 ORACLE = {
     "murmur_words": f"WITH m AS ({murmur(f'(SELECT DISTINCT unnest({_PLAIN}) AS word FROM documents)', 'word', 0)}) SELECT word, hash::VARCHAR AS hash FROM m WHERE length(word) <= 15",
+    "murmur_long_words": _LONG,
     "murmur_kmers_21": f"WITH m AS ({murmur(_K21, 'kmer', 1)}) SELECT id, hash::VARCHAR AS hash, count(*) AS n FROM m GROUP BY ALL",
     "sketch_dna": f"WITH m AS (SELECT DISTINCT id, hash FROM ({murmur(_K21, 'kmer', 1)})) SELECT id, hash::VARCHAR AS hash FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hash) AS r FROM m) WHERE r <= 5",
     "kmers": _windows(ROUGH, 10),
