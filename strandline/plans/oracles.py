@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from strandline.functions.hashing import C1, C2, F1, F2, N1, N2, SEED
-from strandline.functions.sequence import CODONS
+# The published hash function's multipliers and addends, and the seed that sketches have.
+C1, C2, N1, N2 = 9782798678568883157, 5545529020109919103, 1390208809, 944331445
+F1, F2, SEED = 18397679294719823053, 14181476777654086739, 42
+# The standard genetic code by amino acid.
+AMINO = {
+    "A": "GCT GCC GCA GCG", "C": "TGT TGC", "D": "GAT GAC", "E": "GAA GAG", "F": "TTT TTC", "G": "GGT GGC GGA GGG", "H": "CAT CAC", "I": "ATT ATC ATA",
+    "K": "AAA AAG", "L": "TTA TTG CTT CTC CTA CTG", "M": "ATG", "N": "AAT AAC", "P": "CCT CCC CCA CCG", "Q": "CAA CAG", "R": "CGT CGC CGA CGG AGA AGG",
+    "S": "TCT TCC TCA TCG AGT AGC", "T": "ACT ACC ACA ACG", "V": "GTT GTC GTA GTG", "W": "TGG", "Y": "TAT TAC", "*": "TAA TAG TGA",
+}
+CODONS = {codon: acid for acid, codons in AMINO.items() for codon in codons.split()}
 
 TABLES = (9973, 9967, 9949, 9941)
 _U = 1 << 64
