@@ -25,6 +25,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     s.add_argument("-n", "--num-results", type=int, default=search.DEFAULT_TOP, help="0: all")
     s.add_argument("--best-only", action="store_true")
     s.add_argument("--containment", action="store_true")
+    s.add_argument("--ignore-abundance", action="store_true", help="accepted; comparisons never use counts")
     s.add_argument("--traverse-directory", action="store_true")
     s.add_argument("--scaled", type=int, help="compare at the threshold that keeps one hash in so many")
     s.add_argument("-o", "--output", help="folder for the finds as CSV")

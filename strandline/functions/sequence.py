@@ -41,13 +41,9 @@ def ascii_upper(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All windows of ``k`` characters; none if the text is shorter."""
-
-    def windows(s: Column) -> Column:
-        all_of = F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))
-        return F.when(F.length(s) >= k, all_of).otherwise(F.array().cast("array<string>"))
-
-    return once(seq, windows)
+    """All windows of ``k`` characters; none if the text is shorter. One pass over the text: taking a substring for each
+    window would read it from its beginning every time."""
+    return F.coalesce(F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)), F.array().cast("array<string>"))
 
 
 def is_dna(word: Column) -> Column:
@@ -68,13 +64,9 @@ def canonical(kmer: Column) -> Column:
 def amino_acids(seq: Column) -> Column:
     """Codons of three translated; an unknown codon is skipped and the chain closes; an incomplete tail is dropped."""
     table = F.create_map(*(F.lit(x) for pair in CODONS.items() for x in pair))
-
-    def chain(s: Column) -> Column:
-        places = F.sequence(F.lit(0), F.floor(F.length(s) / 3).cast("int") - 1)
-        found = F.filter(F.transform(places, lambda i: F.element_at(table, F.substring(s, i * 3 + 1, F.lit(3)))), lambda x: x.isNotNull())
-        return F.when(F.length(s) >= 3, F.array_join(found, "")).otherwise(F.lit(""))
-
-    return once(seq, chain)
+    codons = F.regexp_extract_all(seq, F.lit("(?s).{3}"), F.lit(0))
+    found = F.filter(F.transform(codons, lambda c: F.element_at(table, c)), lambda x: x.isNotNull())
+    return F.coalesce(F.array_join(found, ""), F.lit(""))
 
 
 def six_frames(seq: Column) -> Column:

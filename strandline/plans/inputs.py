@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.hashing import portable_hash
@@ -67,9 +69,9 @@ def group_sketches(spark: SparkSession, sf_dir: str, num: int = 200) -> DataFram
     """(id, name, sketch) of each language and source, numbered by name."""
     docs = table(spark, sf_dir, "documents").withColumn("name", F.concat_ws("-", "lang", "source"))
     built = _sketches(docs, ["name"], num=num)
-    places = docs.select("name").distinct().groupBy().agg(F.array_sort(F.collect_set("name")).alias("all_"))
-    numbered = places.select(F.posexplode("all_").alias("id", "name"))
-    return built.join(F.broadcast(numbered), "name").select(F.col("id").cast("long").alias("id"), "name", "sketch")
+    places = F.row_number().over(Window.orderBy("name")) - 1  # of the different names, a row each
+    numbered = docs.select("name").distinct().select("name", places.cast("long").alias("id"))
+    return built.join(numbered, "name").select("id", "name", "sketch")
 
 
 def group_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,3 +91,25 @@ def rough_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, seq): 32 characters for each document: bases, lower case and N among them."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("id"), F.translate(F.md5("text"), "0123456789abcdef", "ACGTACGTACGTacgN").alias("seq"))
+
+
+def text_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, seq): the letters of each whole text, dealt to the four bases in turn; as long as the text, or shorter than a word."""
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return docs.select("id", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
+
+
+def rough_text_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, seq): as ``text_dna``, in both cases and with an N for each digit."""
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    kept = F.regexp_replace("text", "[^A-Za-z0-9]", "")
+    return docs.select("id", F.translate(F.lower(kept), "abcdefghijklmnopqrstuvwxyz0123456789", "ACGTACGTACGTACGTACGTacgtacNNNNNNNNNN").alias("seq"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for the files that a query writes and reads back: in ``spark.checkpoint.dir``, else in the session's
+    checkpoint folder, else in its warehouse, all of which executors share."""
+    before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (before.get() if before.isDefined() else spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{base}/strandline-{uuid.uuid4().hex}"

@@ -1,7 +1,9 @@
-"""The queries in DuckDB's SQL, written from the definitions and sharing nothing with the Spark side."""
+"""The queries in DuckDB's SQL, written from the definitions; shared with the Spark side is only the class that a signature file states."""
 
 from __future__ import annotations
 
+from strandline.operators.signature import DEFAULTS
+
 # The published hash function's multipliers and addends, and the seed that sketches have.
 C1, C2, N1, N2 = 9782798678568883157, 5545529020109919103, 1390208809, 944331445
 F1, F2, SEED = 18397679294719823053, 14181476777654086739, 42
@@ -13,6 +15,7 @@ AMINO = {
 }
 CODONS = {codon: acid for acid, codons in AMINO.items() for codon in codons.split()}
 
+CLASS = DEFAULTS["class"]
 TABLES = (9973, 9967, 9949, 9941)
 _U = 1 << 64
 
@@ -116,6 +119,9 @@ _TWO = f"""WITH {SKETCHES}, two AS (SELECT id::VARCHAR AS name, 21 AS ksize, hk
   UNION ALL SELECT id::VARCHAR, 30, hk FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hk) AS r FROM sk) WHERE r <= 10)"""
 DNA = "SELECT doc_id AS id, translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM documents"
 ROUGH = "SELECT doc_id AS id, translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTacgN') AS seq FROM documents"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+TEXT_DNA = f"SELECT doc_id AS id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{_LETTERS}', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents"
+ROUGH_TEXT = f"SELECT doc_id AS id, translate(lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')), '{_LETTERS}0123456789', 'ACGTACGTACGTACGTACGTacgtacNNNNNNNNNN') AS seq FROM documents"
 _RC = "reverse(translate({x}, 'ACGTacgt', 'TGCATGCA'))"
 
 
@@ -146,6 +152,13 @@ ORACLE = {
     "forced_kmers": f"SELECT id, count(*) FILTER (WHERE regexp_full_match(kmer, '[ACGTacgt]*')) AS n FROM ({_windows(ROUGH, 10)}) GROUP BY id",
     "translate_six_frame": f"WITH {_FRAMES} SELECT * FROM proteins",
     "protein_words": f"WITH {_FRAMES} SELECT id, count(*) AS words, count(DISTINCT substr(protein, i, 3)) AS distinct_words FROM (SELECT *, unnest(range(1, length(protein) - 1)) AS i FROM proteins) GROUP BY id",
+    "text_frames": f"WITH {_FRAMES.replace(ROUGH, ROUGH_TEXT)} SELECT id, frame, length(protein) AS residues, md5(protein) AS protein_md5 FROM proteins",
+    "text_kmers": f"""SELECT id, greatest(length(seq) - 20, 0) AS windows, list_sum(list_transform(string_split(upper(seq), 'N'), lambda x: greatest(length(x) - 20, 0)))::BIGINT AS valid,
+      md5(array_to_string(list_transform(range(1, greatest(length(seq) - 20, 0) + 1), lambda i: substr(seq, i, 21)), ',')) AS kmers_md5 FROM ({ROUGH_TEXT})""",
+    "text_sketch_jaccard": f"""WITH words AS (SELECT DISTINCT id, least(kmer, {_RC.format(x='kmer')}) AS kmer FROM ({_windows(TEXT_DNA, 21)})),
+      each AS (SELECT DISTINCT kmer FROM words), m AS ({murmur('each', 'kmer', 1)}), sk AS (SELECT id, hash FROM words JOIN m USING (kmer) WHERE hash <= {1 << 58}::UHUGEINT),
+      c AS (SELECT id, count(*) AS n FROM sk GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM sk x JOIN sk y USING (hash) WHERE x.id < y.id GROUP BY x.id, y.id),
+      s AS (SELECT a, b, common, l.n + r.n - common AS size FROM p JOIN c l ON l.id = a JOIN c r ON r.id = b) SELECT *, common::DOUBLE / size AS similarity FROM s WHERE common::DOUBLE / size > 0.2""",
     "sketch_bottom_n": f"WITH {SKETCHES} SELECT id, hk FROM sk",
     "sketch_abundance": f"WITH {SKETCHES} SELECT id, hk, abund FROM sk",
     "sketch_scaled": f"WITH {SCALED} SELECT id, hk FROM sk",
@@ -186,11 +199,18 @@ ORACLE = {
     "signature_md5": f"WITH {SKETCHES} SELECT id, {_MD5.format(k=21)} AS md5 FROM sk GROUP BY id",
     "select_signatures": f"{_TWO} SELECT name, 1::BIGINT AS sketch_no, count(*) AS size, 'CC0' AS license, 0.4::DOUBLE AS version FROM two WHERE ksize = 30 GROUP BY name",
     "sig_roundtrip": f"{_TWO} SELECT name, ksize::BIGINT AS ksize, count(*) AS size, md5(ksize::VARCHAR || string_agg((hk::HUGEINT + 9223372036854775808)::VARCHAR, '' ORDER BY hk)) AS md5 FROM two GROUP BY name, ksize",
+    "sig_files_roundtrip": f"{_TWO}, s AS (SELECT name, ksize::BIGINT AS ksize, count(*) AS size, md5(ksize::VARCHAR || string_agg((hk::HUGEINT + 9223372036854775808)::VARCHAR, '' ORDER BY hk)) AS md5 FROM two GROUP BY name, ksize) SELECT codec, s.* FROM s, (VALUES ('none'), ('gzip'), ('bzip2'), ('lzma')) AS t(codec)",
+    "index_roundtrip": f"{_TWO} SELECT CASE WHEN ksize = 21 THEN 'dna' ELSE 'protein' END AS part, name, ksize::BIGINT AS ksize, count(*) AS size, md5(ksize::VARCHAR || string_agg((hk::HUGEINT + 9223372036854775808)::VARCHAR, '' ORDER BY hk)) AS md5 FROM two GROUP BY name, ksize",
+    "signature_json": f"""{_TWO}, counted AS (SELECT name, ksize, (hk::HUGEINT + 9223372036854775808)::VARCHAR AS h, hk, abund FROM two JOIN (SELECT id::VARCHAR AS name, hk, abund FROM sk) USING (name, hk)),
+      one AS (SELECT name, ksize, '{{"num":' || (CASE WHEN ksize = 21 THEN 100 ELSE 10 END) || ',"ksize":' || ksize || ',"seed":42,"max_hash":0,"mins":[' || string_agg(h, ',' ORDER BY hk) || '],"md5sum":"' || md5(ksize::VARCHAR || string_agg(h, '' ORDER BY hk)) || '",'
+        || CASE WHEN ksize = 21 THEN '"abundances":[' || string_agg(abund::VARCHAR, ',' ORDER BY hk) || '],"molecule":"DNA"}}' ELSE '"molecule":"protein"}}' END AS j FROM counted GROUP BY name, ksize)
+      SELECT '{{"class":"{CLASS}","email":"","hash_function":"0.murmur64","name":"' || name || '","license":"CC0","version":0.4,"signatures":[' || string_agg(j, ',' ORDER BY ksize) || ']}}' AS json FROM one GROUP BY name""",
     "signature_equality": f"WITH {DOCS} SELECT DISTINCT id::VARCHAR AS name, true AS same_first, false AS same_email FROM sh",
     "signature_accessors": f"WITH {SKETCHES} SELECT id::VARCHAR AS name, '' AS filename, 'CC0' AS license, count(*) AS first_size, 3::BIGINT AS pushed, 1::BIGINT AS set_to FROM sk GROUP BY id",
     "codec_sniff": "SELECT doc_id, c AS codec, c AS sniffed, true AS same FROM documents, (VALUES ('gzip'), ('bzip2'), ('lzma'), ('none')) AS t(c)",
     "tree_children": "SELECT o_orderkey::BIGINT AS pos, CASE WHEN o_orderkey > 0 THEN (o_orderkey - 1) // 2 ELSE -1 END::BIGINT AS parent, CASE WHEN o_orderkey > 0 THEN (o_orderkey - 1) // 10 ELSE -1 END::BIGINT AS parent_10, (2 * o_orderkey + 2)::BIGINT AS right, concat_ws(',', 3 * o_orderkey + 1, 3 * o_orderkey + 2, 3 * o_orderkey + 3) AS children_3 FROM orders",
     "tree_min_n_below": f"WITH {GROUPS}, s AS (SELECT node, id, count(*) AS n FROM up GROUP BY ALL) SELECT node AS pos, min(n) AS min_n_below FROM s GROUP BY node",
+    "tree_file_filters": f"WITH {GROUPS}, {_bins('up', 'node')} SELECT node, count(*) AS occupied, 21::BIGINT AS ksize, '{','.join(map(str, TABLES))}' AS sizes FROM bins GROUP BY node",
     "tree_node_filters": f"WITH {GROUPS}, {_bins('up', 'node')} SELECT node, count(*) AS occupied FROM bins GROUP BY node",
     "stream_counts": "SELECT event_type, count(DISTINCT props) AS distinct_words, count(props)::BIGINT AS words FROM events GROUP BY event_type",
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from strandline.functions import sequence
 from strandline.functions.hashing import decode_hash, murmur64_column
 from strandline.operators import bloom, compare, search, signature, sketch, tree
 from strandline.plans import inputs
-from strandline.sources import codecs, oxli, signatures
+from strandline.sources import codecs, databases, oxli, sbt, signatures
 
 QUERIES = {}
 TABLES = (9973, 9967, 9949, 9941)
@@ -105,9 +103,29 @@ def forced_kmers(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
+@query
+def text_frames(spark: SparkSession, d: str) -> DataFrame:
+    frames = inputs.rough_text_dna(spark, d).select("id", F.posexplode(sequence.six_frames(F.col("seq"))).alias("frame", "protein"))
+    return frames.select("id", F.col("frame").cast("long").alias("frame"), F.length("protein").cast("long").alias("residues"), F.md5("protein").alias("protein_md5"))
+
+
+@query
+def text_kmers(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.col("seq")
+    rows = inputs.rough_text_dna(spark, d).select("id", sequence.kmers(seq, 21).alias("k"), F.size(sequence.sequence_hashes(seq, 21, force=True)).cast("long").alias("valid"))
+    return rows.select("id", F.size("k").cast("long").alias("windows"), "valid", F.md5(F.array_join("k", ",")).alias("kmers_md5"))
+
+
 # Building sketches
 
 
+@query
+def text_sketch_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """Whole sequences hashed, sketched and compared."""
+    rows = inputs.text_dna(spark, d).select("id", sequence.sequence_hashes(F.col("seq"), 21, max_hk=(1 << 58) - (1 << 63)).alias("hashes"))
+    return compare.scaled_jaccard_pairs(sketch.build_arrays(rows, ["id"], "hashes", num=0, max_hash=1 << 58, ksize=21), threshold=0.2)
+
+
 @query
 def sketch_bottom_n(spark: SparkSession, d: str) -> DataFrame:
     return sketch.exploded(inputs.document_sketches(spark, d)).select("id", "hk")
@@ -366,6 +384,28 @@ def sig_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("name", F.col("sketch.ksize").cast("long").alias("ksize"), sketch.size(F.col("sketch")).cast("long").alias("size"), sketch.md5sum(F.col("sketch")).alias("md5"))
 
 
+@query
+def sig_files_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures through files of every format, each written from what was read from the one before."""
+    folder, some, out = inputs.scratch(spark), _signatures(spark, d), None
+    for codec in ("none", "gzip", "bzip2", "lzma"):
+        signatures.write_signatures(some, f"{folder}/{codec}", codec)
+        some = signatures.read_signatures(spark, f"{folder}/{codec}", verify_md5=True)
+        part = signature.flatten(some).select(F.lit(codec).alias("codec"), "name", F.col("sketch.ksize").cast("long").alias("ksize"), sketch.size(F.col("sketch")).cast("long").alias("size"), sketch.md5sum(F.col("sketch")).alias("md5"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """An index of sketches saved, and both of its parts loaded by what selects them."""
+    folder = f"{inputs.scratch(spark)}/index"
+    databases.save_index(signature.flatten(_signatures(spark, d)).select("name", "sketch"), folder)
+    dna, protein = databases.load_index(spark, folder, 21, "DNA"), databases.load_index(spark, folder, 30, "protein")
+    both = dna.withColumn("part", F.lit("dna")).unionByName(protein.withColumn("part", F.lit("protein")))
+    return both.select("part", "name", F.col("sketch.ksize").cast("long").alias("ksize"), sketch.size(F.col("sketch")).cast("long").alias("size"), sketch.md5sum(F.col("sketch")).alias("md5"))
+
+
 @query
 def signature_json(spark: SparkSession, d: str) -> DataFrame:
     return signatures.to_json(_signatures(spark, d))
@@ -411,6 +451,19 @@ def tree_node_filters(spark: SparkSession, d: str) -> DataFrame:
     return bloom.occupied(tree.node_filters(inputs.group_tree(spark, d), TABLES))
 
 
+@query
+def tree_file_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Node filters written as files next to a tree file that names them, and read back through it."""
+    folder, leaves = inputs.scratch(spark), inputs.group_tree(spark, d)
+    files = oxli.to_files(tree.node_filters(leaves, TABLES), list(TABLES), 21)
+    named = [(r["node"], databases.save_file(spark, f"{folder}/.sbt", f"node{r['node']}", bytes(r["content"])).rsplit("/", 1)[-1]) for r in files.toLocalIterator()]
+    none = F.lit(None).cast("map<string,bigint>").alias("metadata")
+    nodes = spark.createDataFrame(named, "pos long, filename string").select("pos", "filename", F.col("filename").alias("name"), none)
+    text = sbt.to_json(nodes, leaves.select("pos", F.col("name").alias("filename"), "name", F.col("name").alias("metadata"))).first()["json"]
+    filters, sizes = sbt.TreeFile(spark, databases.save_file(spark, folder, "tree.sbt.json", text.encode())).node_filters()
+    return bloom.occupied(filters).join(sizes, "node").select("node", "occupied", "ksize", _joined(F.col("sizes"), "sizes"))
+
+
 @query
 def scaffold_levels(spark: SparkSession, d: str) -> DataFrame:
     return tree.scaffold(inputs.group_sketches(spark, d))
@@ -425,8 +478,9 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 
     source = inputs.table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
-    name = f"stream_{uuid.uuid4().hex}"
-    running = hash_stream(stream, ["event_type"], "props").writeStream.outputMode("complete").format("memory").queryName(name).start()
+    folder = inputs.scratch(spark)
+    counts = hash_stream(stream, ["event_type"], "props").writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint")
+    running = counts.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")).start()
     running.processAllAvailable()
     running.stop()
-    return spark.table(name).groupBy("event_type").agg(F.count(F.lit(1)).alias("distinct_words"), F.sum("cnt").alias("words"))
+    return spark.read.parquet(f"{folder}/counts").groupBy("event_type").agg(F.count(F.lit(1)).alias("distinct_words"), F.sum("cnt").alias("words"))

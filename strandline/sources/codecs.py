@@ -5,6 +5,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import lzma
+import sys
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +61,9 @@ def choose(found: str, is_set: bool, value: str | None = None) -> str:
 
 
 def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, codec, content): whole files, decompressed by what they hold."""
-    raw = spark.read.format("binaryFile").load(path)
+    """(path, codec, content): whole files, decompressed by what they hold. The path ``-`` is the driver's standard input."""
+    if path == "-":
+        raw = spark.createDataFrame([("-", sys.stdin.buffer.read())], "path string, content binary")
+    else:
+        raw = spark.read.format("binaryFile").load(path)
     return raw.select("path", sniff(F.col("content")).alias("codec"), decompress(F.col("content")).alias("content"))

@@ -29,7 +29,10 @@ def save_file(spark: SparkSession, base: str, name: str, content: bytes) -> str:
 
 
 def files_of(spark: SparkSession, path: str, traverse: bool = False) -> list[str]:
-    """The path itself, or with ``traverse`` all files below it if it is a folder; a folder without it is skipped."""
+    """The path itself, or with ``traverse`` all files below it if it is a folder; a folder without it is skipped. ``-``,
+    the standard input, is itself."""
+    if path == "-":
+        return [path]
     fs, target = _file_system(spark, path)
     if not fs.getFileStatus(target).isDirectory():
         return [path]
@@ -60,6 +63,8 @@ def load_database(spark: SparkSession, path: str, ksize: int = 0, moltype: str |
 
 
 def _is_tree(spark: SparkSession, path: str) -> bool:
+    if path == "-":  # can be read once only
+        return False
     start = read_files(spark, path).select(F.ltrim(F.col("content").cast("string")).alias("t")).select(F.substring("t", 1, 1)).first()
     return bool(start) and start[0] == "{"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.sources import oxli
 from strandline.sources.codecs import read_files
 from strandline.sources.signatures import parse as parse_signatures
 
@@ -39,6 +40,18 @@ class TreeFile:
         return parse_signatures(wanted, "json", keep=("pos", "leaf_name"))
 
 
+    def node_filters(self) -> tuple[DataFrame, DataFrame]:
+        """(node, tbl, bucket, bitmap) of the filters that the nodes' files hold, and (node, ksize, sizes): the word size and
+        the tables' sizes of each. Files that the tree doesn't name are not read."""
+        names = self.nodes.select("pos", F.col("filename").alias("file_"))
+        wanted = [f"{self.base}/{r['file_']}" for r in names.collect()]  # names of inner nodes, which the tree file holds in a row
+        if not wanted:
+            raise ValueError(f"{self.path} names no nodes")
+        read = oxli.read_filters(self.spark, wanted).withColumn("file_", F.element_at(F.split("path", "/"), -1)).join(names, "file_")
+        sized = read.groupBy(F.col("pos").alias("node")).agg(F.first("ksize").alias("ksize"), F.array_sort(F.collect_list(F.struct("tbl", "size"))).alias("t"))
+        return oxli.to_bitmaps(read, "pos"), sized.select("node", "ksize", F.col("t.size").alias("sizes"))
+
+
 def load_file(spark: SparkSession, base: str, name: str) -> bytes:
     """The bytes of one file of a store."""
     return bytes(spark.read.format("binaryFile").load(f"{base}/{name}").select("content").first()["content"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import lzma
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -87,6 +88,10 @@ def write_signatures(signatures: DataFrame, path: str, codec: str = "none") -> N
     """JSON files in a folder, an array of one signature a line, in any of the formats that reading knows. Spark writes all
     but ``lzma``, of which each task writes its file itself, through pyarrow's file systems."""
     rows = to_json(signatures).select(F.concat(F.lit("["), "json", F.lit("]")).alias("value"))
+    if path == "-":
+        for r in rows.toLocalIterator():
+            sys.stdout.write(r["value"] + "\n")
+        return
     if codec in ("none", "gzip", "bzip2"):
         rows.write.option("compression", codec).option("lineSep", "\n").text(path)
         return
@@ -94,7 +99,7 @@ def write_signatures(signatures: DataFrame, path: str, codec: str = "none") -> N
     def write(batches: Iterator[pa.RecordBatch]):
         some = (batch for batch in batches if batch.num_rows)
         if (first := next(some, None)) is not None:
-            system, folder = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+            system, folder = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
             name = f"{folder}/part-{TaskContext.get().partitionId():05d}.json.xz"
             system.create_dir(folder)
             packer, unfinished = lzma.LZMACompressor(preset=9), f"{folder}/_{uuid.uuid4().hex}"

@@ -1,10 +1,13 @@
+import io
 import json
+import types
 
+import numpy as np
 import pytest
 
 from strandline import cli
 from strandline.errors import SketchError
-from strandline.sources import databases, signatures
+from strandline.sources import databases, oxli, sbt, signatures
 from test_sources import text
 
 
@@ -55,3 +58,32 @@ def test_index(spark, store):
 def test_scaffold_command(spark, store, capsys):
     assert cli.main(["scaffold", f"{store}/t.sbt.json"]) == 0
     assert capsys.readouterr().out.count("true") == 3
+
+
+def test_node_filters(spark, tmp_path):
+    bins = {0: [[1, 5, 12], [0, 8]], 2: [[], [3]]}
+    for pos, some in bins.items():
+        databases.save_file(spark, f"file://{tmp_path}/.sbt", f"n{pos}", oxli.render([13, 9], [np.array(b, np.int64) for b in some], 21))
+    databases.save_file(spark, f"file://{tmp_path}/.sbt", "other", b"no filter, and not named by the tree")
+    nodes = {str(pos): {"filename": f"n{pos}", "name": f"n{pos}", "metadata": {}} for pos in bins}
+    tree = {"d": 2, "version": 5, "storage": {"backend": "FSStorage", "args": {"path": ".sbt"}}, "factory": {"class": "F", "args": [1]}, "nodes": nodes, "leaves": {}}
+    (tmp_path / "t.sbt.json").write_text(json.dumps(tree))
+    filters, sizes = sbt.TreeFile(spark, f"{tmp_path}/t.sbt.json").node_filters()
+    found = {(r["node"], r["tbl"]): np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["bitmap"]), np.uint8), bitorder="little")).tolist() for r in filters.collect()}
+    assert found == {(pos, i): b for pos, some in bins.items() for i, b in enumerate(some) if b}
+    assert sorted(map(tuple, sizes.collect())) == [(0, 21, [13, 9]), (2, 21, [13, 9])]
+    (tmp_path / "bare.sbt.json").write_text(json.dumps(tree | {"nodes": {}}))
+    with pytest.raises(ValueError):
+        sbt.TreeFile(spark, f"{tmp_path}/bare.sbt.json").node_filters()
+
+
+def test_standard_streams(spark, monkeypatch, capsys):
+    given = signature_text("a", [1, 2, 3, 4]).encode()
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(given)))
+    read = signatures.read_signatures(spark, "-")
+    assert [r["name"] for r in read.collect()] == ["a"]
+    signatures.write_signatures(read, "-")
+    assert [json.loads(x)[0]["name"] for x in capsys.readouterr().out.splitlines()] == ["a"]
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(given)))
+    assert [x.count() for x in databases.load_databases(spark, ["-"]).values()] == [1]
+    assert cli.arguments(["search", "-", "x", "--ignore-abundance"]).ignore_abundance

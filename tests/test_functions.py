@@ -106,3 +106,16 @@ def test_long_sequences_go_in_pieces(monkeypatch):
     whole = [f(x, k).tolist() for f in (sequence.dna_hashes, sequence.protein_hashes) for k in (6, 21) for x in (seq, seq[:20], b"")]
     monkeypatch.setattr(sequence, "PIECE", 100)
     assert [f(x, k).tolist() for f in (sequence.dna_hashes, sequence.protein_hashes) for k in (6, 21) for x in (seq, seq[:20], b"")] == whole
+
+
+def test_words_of_long_and_odd_sequences(spark):
+    """One pass a sequence: two million characters take seconds; characters beyond the basic plane are one each."""
+    from pyspark.sql import functions as F
+
+    from strandline.functions import sequence
+
+    odd, long = "a\U0001f600b\nC", "ACGTTGCA" * 250_000
+    rows = spark.createDataFrame([(odd,), ("",), (None,), (long,)], "seq string")
+    found = rows.select("seq", sequence.kmers(F.col("seq"), 3).alias("k"), sequence.amino_acids(F.col("seq")).alias("p")).select("seq", F.size("k").alias("n"), F.slice("k", 1, 3).alias("k"), "p").collect()
+    assert [(r["n"], r["k"]) for r in found] == [(3, [odd[:3], odd[1:4], odd[2:]]), (0, []), (0, []), (len(long) - 2, ["ACG", "CGT", "GTT"])]
+    assert [r["p"] for r in found][:3] == ["", "", ""] and found[3]["p"] == "".join(sequence.CODONS[long[i : i + 3]] for i in range(0, len(long) - 2, 3))
