@@ -1,7 +1,8 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 A logistic regression over the distinct words of a text. It learns from a bounded, documented sample of
-labelled rows (``sample`` at most, the smallest by a hash of their id). The words it may use are those of
+labelled rows (``sample`` at most: the smallest ids by a hash, each with all rows of that id, as far as they fit; an id
+whose rows don't is left out). The words it may use are those of
 the sample that tell the labels apart best, found by distributed counts and kept only if their chi-square is
 beyond 1.5 times the logarithm of the number of words tried, and the identity terms below. Each
 labelled sentence that mentions a group is copied with the term swapped for another of its kind; the loss
@@ -16,6 +17,7 @@ of several labels is toxic if one of them is. Without labels of both kinds the s
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -79,12 +81,24 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.
     return w
 
 
+def _fitting(ids: Collection, repeats: dict, room: int) -> np.ndarray:
+    """For each id, in order, whether its rows still fit in ``room`` after those of the ids taken before."""
+    taken = np.zeros(len(ids), bool)
+    for i, n in enumerate(repeats.get(x, 0) for x in ids):
+        taken[i] = n <= room
+        room -= n if taken[i] else 0
+    return taken
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 4_000, fairness: float = 100.0, swaps: int = 40_000) -> tuple[dict[str, float], float]:
     """(weight of each word that has one, intercept), from labelled rows whose crc32(doc_id) mod 5 is not 0."""
     spark = bounded_batches(docs).sparkSession
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    ids = spark.createDataFrame(chosen.toPandas(), chosen.schema)  # at most ``sample`` rows
+    schema, ids = chosen.schema, chosen.toPandas()  # at most ``sample`` rows
+    few = spark.createDataFrame(ids, schema)
+    repeats = docs.select("doc_id").join(F.broadcast(few.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = spark.createDataFrame(ids[_fitting(ids["doc_id"], dict(map(tuple, repeats.collect())), sample)], schema)
     kind = pa.struct([("words", pa.list_(pa.string())), ("pairs", pa.list_(pa.struct([("a", pa.list_(pa.string())), ("b", pa.list_(pa.string()))])))])
 
     def features(texts: pa.Array) -> pa.Array:

@@ -71,3 +71,15 @@ def test_query(spark, sf):
     rows = op1_toxicity(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_repeated_ids_stay_within_the_sample(make_docs, labels_of, monkeypatch):
+    docs, labels = corpus(make_docs, labels_of, 100)
+    learned, fit = [], tx.fit
+    monkeypatch.setattr(tx, "fit", lambda rows, *rest: learned.append(len(rows)) or fit(rows, *rest))
+    open_ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    many = docs.unionByName(docs.where(F.col("doc_id") == open_ids[0]).crossJoin(docs.sparkSession.range(70).select()))
+    tx.train(many, labels, sample=60)
+    tx.train(docs, labels, sample=60)
+    assert learned[0] in (59, 60) and learned[1] == 60
+    assert tx._fitting([3, 1, 2, 4], {3: 2, 1: 9, 2: 3, 4: 1}, 5).tolist() == [True, False, True, False]
