@@ -65,6 +65,18 @@ def top(found: DataFrame, collection: DataFrame, n: int = DEFAULT_TOP, best_only
     return all_of.where(F.col("rank") <= n) if n else all_of
 
 
+def tenths(x: Column) -> Column:
+    """``x``, not negative, in tenths: the nearest of its exact binary value, and of two equally near the even one. Spark's
+    own formatting rounds the shortest decimal that reads as ``x``, halves upwards. The part after the point is a whole number
+    of 2^-59; smaller parts, which only numbers below 0.008 have, decide nothing."""
+    whole = F.floor(x).cast("bigint")
+    ten = F.floor((x - whole) * F.lit(float(1 << 59))).cast("bigint") * 10
+    down, rest = F.shiftright(ten, 59), ten.bitwiseAND(F.lit((1 << 59) - 1))
+    up = (rest > (1 << 58)) | ((rest == (1 << 58)) & (down % 2 == 1))
+    return whole * 10 + down + F.when(up, 1).otherwise(0)
+
+
 def report(found: DataFrame) -> DataFrame:
     """(query, rank, line): each find as a line of text, the similarity in percent."""
-    return found.select("query", "rank", F.format_string("%6.1f%%       %-60s", F.col("similarity") * 100, F.coalesce("name", F.lit(""))).alias("line"))
+    percent = tenths(F.col("similarity") * 100)
+    return found.select("query", "rank", F.format_string("%4d.%d%%       %-60s", F.floor(percent / 10).cast("bigint"), percent % 10, F.coalesce("name", F.lit(""))).alias("line"))
