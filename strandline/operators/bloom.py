@@ -1,7 +1,8 @@
 """Bloom filters of several tables and one hash: a hash's bin in a table is its remainder by the table's size.
 
 A filter is a set of rows (node, tbl, bucket, bitmap), a bitmap for each 32,768 bins that have any bit; a
-bucket without a row is all zeros. Building and uniting are bitmap aggregates, which combine in every task.
+bucket without a row is all zeros. Building ORs 64 bins at a time, in longs, which combine in every task without a sort
+of the hashes, as Spark's aggregate of bitmaps would have it; what is shuffled has the size of the filters.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.hashing import BIAS
 
@@ -17,6 +19,10 @@ from strandline.functions.hashing import BIAS
 DEFAULT_TABLES = (99991, 99989, 99971, 99961)
 
 
+#: The first rows of bins are broadcast up to this many.
+BROADCAST_ROWS = 250_000
+
+
 def primes_below(start: int, count: int) -> tuple[int, ...]:
     """The ``count`` largest primes below ``start``, the largest first: the table sizes of a new filter."""
     found: list[int] = []
@@ -43,8 +49,13 @@ def bins(rows: DataFrame, tables: Sequence[int] = DEFAULT_TABLES, by: Sequence[s
 
 def build(rows: DataFrame, tables: Sequence[int] = DEFAULT_TABLES, by: Sequence[str] = ("node",), hk: str = "hk") -> DataFrame:
     """(by, tbl, bucket, bitmap) of all hashes of each node."""
-    place = F.col("bin") + 1
-    return bins(rows, tables, by, hk).groupBy(*by, "tbl", F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+    at = F.col("bin")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.lit(56) - F.floor(at % 64 / 8) * 8 + at % 8).cast("int"))  # the bytes' order is that of a bitmap
+    words = bins(rows, tables, by, hk).groupBy(*by, "tbl", F.shiftright(at, 6).alias("word_")).agg(F.bit_or(bit).alias("bits_"))
+    lists = words.groupBy(*by, "tbl", (F.shiftright("word_", 9) + 1).alias("bucket")).agg(F.sort_array(F.collect_list(F.struct((F.col("word_") % 512).cast("int").alias("w"), F.col("bits_").alias("v")))).alias("all_"))
+    before = lambda i: F.coalesce(F.get(F.col("all_"), i - 1)["w"], F.lit(-1))
+    digits = F.transform("all_", lambda x, i: F.concat(F.repeat(F.lit("0" * 16), x["w"] - before(i) - 1), F.lpad(F.hex(x["v"]), 16, "0")))
+    return lists.select(*by, "tbl", "bucket", F.unhex(F.rpad(F.array_join(digits, ""), 8192, "0")).alias("bitmap"))
 
 
 def unite(filters: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -59,8 +70,34 @@ def occupied(filters: DataFrame, by: Sequence[str] = ("node",)) -> DataFrame:
 
 def unique_hashes(rows: DataFrame, tables: Sequence[int] = DEFAULT_TABLES, by: Sequence[str] = ("node",), order: str = "pos", hk: str = "hk") -> DataFrame:
     """(by, unique_kmers): how many hashes set a bit that none before them, by ``order``, had set in some table."""
-    firsts = bins(rows.select(*by, order, hk), tables, (*by, order), hk).groupBy(*by, "tbl", "bin").agg(F.min(order).alias("first_"))
-    return firsts.groupBy(*by, "first_").count().groupBy(*by).agg(F.count(F.lit(1)).alias("unique_kmers"))
+    kind = rows.schema[order].dataType
+    parts = [F.col(order)[f] for f in kind.names] if isinstance(kind, T.StructType) else [F.col(order)]
+    names = [f"first_{i}" for i in range(len(parts))]
+    some, firsts = rows.select(*by, F.col(hk).alias("hk"), *(c.alias(n) for c, n in zip(parts, names, strict=True))), None
+    # A struct's minimum would sort all hashes. Its fields' minima, one after the other, combine in every task, and from the
+    # second on only rows of the bins' first values of the fields before count.
+    for i, name in enumerate(names):
+        keys, place = [*by, *names[:i]], [*by, "tbl", "bin"]
+        each = some
+        if firsts is not None:
+            firsts = firsts.persist()
+            small = firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+            each = _among(some, firsts.select(*keys).distinct(), keys, small)
+        each = bins(each, tables, (*by, *names[: i + 1]), "hk")
+        if firsts is not None:
+            each = _among(each, firsts, [*place, *names[:i]], small)
+        least = F.when(F.max(F.col(name).isNull()), F.lit(None)).otherwise(F.min(name)).alias(name)  # a null field is the least
+        firsts = each.groupBy(*place, *names[:i]).agg(least)
+    return firsts.groupBy(*by, *names).count().groupBy(*by).agg(F.count(F.lit(1)).alias("unique_kmers"))
+
+
+def _among(a: DataFrame, b: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """The rows of ``a`` whose keys ``b`` has, nulls being equal."""
+    renamed = b.select(*(F.col(k).alias(f"{k}_r") for k in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_r"))
+    return a.join(F.broadcast(renamed) if small else renamed, on, "left_semi")
 
 
 def bit_is_set(bitmap: str = "bitmap", bit: str = "bit") -> Column:
