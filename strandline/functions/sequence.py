@@ -61,19 +61,32 @@ def canonical(kmer: Column) -> Column:
     return F.least(kmer, reverse_complement(kmer))
 
 
+def _letters(text: str) -> np.ndarray:
+    """A byte for each character; those beyond ASCII, which no codon has, become 0."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 128, points, 0).astype(np.uint8)
+
+
 def amino_acids(seq: Column) -> Column:
     """Codons of three translated; an unknown codon is skipped and the chain closes; an incomplete tail is dropped."""
-    table = F.create_map(*(F.lit(x) for pair in CODONS.items() for x in pair))
-    codons = F.regexp_extract_all(seq, F.lit("(?s).{3}"), F.lit(0))
-    found = F.filter(F.transform(codons, lambda c: F.element_at(table, c)), lambda x: x.isNotNull())
-    return F.coalesce(F.array_join(found, ""), F.lit(""))
+
+    def run(seqs: pa.Array) -> pa.Array:
+        return pa.array([_translate(_letters(x or "")).tobytes().decode() for x in seqs.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(seq)
 
 
 def six_frames(seq: Column) -> Column:
     """The six translations: three frames forward, then three of the reverse complement."""
-    upper = ascii_upper(seq)
-    frames = [F.substring(s, F.lit(i + 1), F.length(s)) for s in (upper, reverse_complement(upper)) for i in range(3)]
-    return F.array(*(amino_acids(x) for x in frames))
+
+    def run(seqs: pa.Array) -> pa.Array:
+        out = []
+        for x in seqs.to_pylist():
+            b = _UPPER[_letters(x or "")]
+            out.append([_translate(s[i:]).tobytes().decode() for s in (b, _COMPLEMENT[b[::-1]]) for i in range(3)])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(seq)
 
 
 def _translate(b: np.ndarray) -> np.ndarray:
