@@ -4,13 +4,17 @@ A sketch is a struct of its parameters and its hashes (``mins``, as hk, ascendin
 (``abunds``) if tracked. In number mode it holds the ``num`` smallest distinct hashes, in threshold mode all
 that are at most ``max_hash``. Building is a count of (group, hash), which combines in every task, and in
 number mode a ranked cut that Spark makes before the shuffle as well as after it; so neither a hot group nor
-a hot hash meets in one task whole.
+a hot hash meets in one task whole. Rows that hold arrays of hashes are never taken apart in number mode: each task
+puts equal groups together and cuts them while it holds a bounded number of hashes, and what is shuffled is a row for
+each group and task, or few more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +26,10 @@ from strandline.operators.compare import KEYS, checked
 SKETCH = "struct<num:bigint,ksize:int,is_protein:boolean,seed:decimal(20,0),max_hash:decimal(20,0),mins:array<bigint>,abunds:array<bigint>>"
 # The usual parameters of a new sketch.
 DEFAULT_NUM, DEFAULT_KSIZE = 1000, 21
+#: So many hashes, about, a task holds at once while it puts equal groups together.
+HELD = 1 << 20
+#: Types of groups that can be told apart in an Arrow batch.
+PLAIN = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def normal_mode(num: int, max_hash: int) -> tuple[int, int]:
@@ -83,11 +91,119 @@ def build(rows: DataFrame, by: Sequence[str], num: int = DEFAULT_NUM, max_hash:
     return grouped.select(*by, cast_sketch(F.col("pairs_.hk"), abunds, num, ksize, is_protein, seed, max_hash).alias("sketch"))
 
 
+def _codes(keys: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """A number of each row, equal where all keys are equal (nulls too), and a row of each number."""
+    code = np.zeros(len(keys[0]), np.int64)
+    for key in keys:
+        told = key.dictionary_encode("encode")
+        code = np.unique(code * (len(told.dictionary) + 1) + told.indices.to_numpy(), return_inverse=True)[1]
+    return code, np.unique(code, return_index=True)[1]
+
+
+def _smallest(keys: list[pa.Array], rows: np.ndarray, hk: np.ndarray, cnt: np.ndarray | None, num: int) -> tuple:
+    """Each group once, with its ``num`` smallest hashes, ascending, and their summed counts. rows: of each hash its
+    row in ``keys``."""
+    code, first = _codes(keys)
+    group = code[rows]
+    order = np.lexsort((hk, group))
+    group, hk = group[order], hk[order]
+    new = np.ones(len(hk), bool)
+    new[1:] = (group[1:] != group[:-1]) | (hk[1:] != hk[:-1])
+    starts = np.flatnonzero(new)
+    if cnt is not None:
+        cnt = np.add.reduceat(cnt[order], starts) if len(starts) else cnt[:0]
+    group, hk = group[starts], hk[starts]
+    n = np.bincount(group, minlength=len(first))
+    keep = np.arange(len(hk)) - np.repeat(np.cumsum(n) - n, n) < num
+    return [k.take(pa.array(first)) for k in keys], group[keep], hk[keep], None if cnt is None else cnt[keep]
+
+
+def combined(rows: DataFrame, by: Sequence[str], num: int, counts: bool) -> DataFrame:
+    """(by, hks_, cnts_): of rows (by, hks_, cnts_) with arrays of hashes and their counts, a row for each group and task,
+    or several where a task has more groups than it may hold, with the ``num`` smallest hashes there, ascending. Groups
+    without hashes stay. counts: whether there is ``cnts_``. Groups are of the types PLAIN."""
+    width, lists = len(by), ["hks_", "cnts_"][: 1 + counts]
+
+    def joined(parts: list[tuple]) -> tuple:
+        bases = np.cumsum([0, *(len(p[0][0]) for p in parts)])
+        keys = [pa.concat_arrays([p[0][k] for p in parts]) for k in range(width)]
+        at = np.concatenate([p[1] + b for p, b in zip(parts, bases, strict=False)])
+        return _smallest(keys, at, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]) if counts else None, num)
+
+    def told(keys: list[pa.Array], at: np.ndarray, hk: np.ndarray, cnt: np.ndarray | None) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *np.bincount(at, minlength=len(keys[0]))]).astype(np.int32))
+        arrays = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hk, cnt)[: 1 + counts]]
+        return pa.RecordBatch.from_arrays([*keys, *arrays], [*by, *lists])
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
+        sizes = batch.column(width).value_lengths().fill_null(0).to_numpy()
+        if counts and not np.array_equal(sizes, batch.column(width + 1).value_lengths().fill_null(0).to_numpy()):
+            raise ValueError("a sketch has as many counts as hashes")
+        run = np.cumsum(sizes) // HELD
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(a, b - a)
+            flat = part.column(width).flatten()
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            hk = flat.fill_null(0).to_numpy()[known]
+            cnt = part.column(width + 1).flatten().fill_null(0).to_numpy()[known] if counts else None
+            yield _smallest(part.columns[:width], np.repeat(np.arange(b - a), sizes[a:b])[known], hk, cnt, num)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for piece in pieces(batch) if batch.num_rows else ():
+                parts.append(piece)
+                held += len(piece[0][0]) + len(piece[2])
+                if held > HELD:
+                    parts = [joined(parts)]
+                    held = len(parts[0][0][0]) + len(parts[0][2])
+                    if held > HELD // 2:  # little was equal: what comes next is put together by itself
+                        yield told(*parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield told(*joined(parts))
+
+    some = rows.select(*by, *lists)
+    return some.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in some.schema.fields]))
+
+
+def plain_groups(rows: DataFrame, by: Sequence[str]) -> bool:
+    return all(isinstance(f.dataType, PLAIN) for f in rows.select(*by).schema.fields)
+
+
+def _of_parts(num: int, counts: bool) -> tuple[Column, Column | None]:
+    """(mins, abunds) of ``parts_``, what ``combined`` found of a group."""
+    alone, cut = F.size("parts_") == 1, (lambda x: x) if num >= 1 << 31 else (lambda x: F.slice(x, 1, num))
+    hks = F.flatten("parts_.hks_")
+    if not counts:
+        return F.when(alone, F.get("parts_.hks_", F.lit(0))).otherwise(cut(F.sort_array(F.array_distinct(hks)))), None
+
+    def summed(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["hk"] != F.get(s, i - 1)["hk"]))
+        total = lambda i, j: F.aggregate(F.slice(s, i + 1, j - i), F.lit(0).cast("bigint"), lambda t, x: t + x["cnt"])
+        return once(starts, lambda at: F.transform(cut(at), lambda i, k: F.struct(F.get(s, i)["hk"].alias("hk"), total(i, F.coalesce(F.get(at, k + 1), F.size(s))).alias("cnt"))))
+
+    many = once(F.sort_array(F.arrays_zip(hks.alias("hk"), F.flatten("parts_.cnts_").alias("cnt"))), summed)
+    first = lambda name: F.get(f"parts_.{name}", F.lit(0))
+    return F.when(alone, first("hks_")).otherwise(F.transform(many, lambda x: x["hk"])), F.when(alone, first("cnts_")).otherwise(F.transform(many, lambda x: x["cnt"]))
+
+
 def build_arrays(rows: DataFrame, by: Sequence[str], hashes: str, num: int = DEFAULT_NUM, max_hash: int = 0, track_abundance: bool = False, **parameters) -> DataFrame:
-    """As ``build``, of rows that each hold an array of hashes. What a row adds to its group's smallest is among its
-    own smallest, and a hash of the group's smallest is so in every row that has it; so each row is counted and cut
-    before it is taken apart and shuffled."""
+    """As ``build``, of rows that each hold an array of hashes. In number mode no row is taken apart: a hash of the
+    group's smallest is among the smallest of every task that has it, so each task counts and cuts its groups, and a group's
+    rows are put together once they met. In threshold mode each row is counted and cut before it is shuffled."""
     num, max_hash = normal_mode(num, max_hash)
+    if num and plain_groups(rows, by):
+        group = list(by) or ["all_"]
+        arrays = (rows if by else rows.withColumn("all_", F.lit(0))).select(*group, F.col(hashes).cast("array<bigint>").alias("hks_"))
+        if track_abundance:
+            arrays = arrays.withColumn("cnts_", F.transform("hks_", lambda _: F.lit(1).cast("bigint")))
+        found = combined(arrays, group, num, track_abundance).where(F.size("hks_") > 0)
+        # Dealt by the group before it is gathered: else each task would sort all its rows to gather them first.
+        dealt = found.repartition(*(F.col(c) for c in group)).groupBy(*group)
+        met = dealt.agg(F.collect_list(F.struct("hks_", *["cnts_"][:track_abundance])).alias("parts_"))
+        return met.select(*by, cast_sketch(*_of_parts(num, track_abundance), num, max_hash=0, **parameters).alias("sketch"))
     mine = F.filter(F.col(hashes), lambda x: x <= F.lit(bias_of(max_hash)) if max_hash else x.isNotNull())
     cut = (lambda x: x) if max_hash or num >= 1 << 31 else (lambda x: F.slice(x, 1, num))
     if not track_abundance:
