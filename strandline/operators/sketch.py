@@ -228,6 +228,18 @@ def exploded(sketches: DataFrame, sketch: str = "sketch") -> DataFrame:
     return sketches.select(*others, F.explode(pairs).alias("p_")).select(*others, F.col("p_.hk").alias("hk"), F.col("p_.abund").alias("abund"))
 
 
+def _met_in_tasks(rows: DataFrame, group: Sequence[str], s: Column, num: int) -> DataFrame:
+    """(group, sketch): the sketches of ``s``, those of one group and the same parameters merged in each task and cut to
+    ``num``, which no merge of them exceeds. They go through Arrow whole; none is taken apart before it was cut."""
+    given = {f"{k}_": s[k] for k in (*KEYS, "num")} | {"tracked_": s["abunds"].isNotNull()}
+    told = F.when(s["abunds"].isNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    counts = F.when(F.size(s["abunds"]) == F.size(s["mins"]), s["abunds"]).otherwise(F.transform(s["mins"], lambda _, i: F.coalesce(F.get(s["abunds"], i), told)))
+    arrays = rows.where(s["mins"].isNotNull()).select(*group, *(c.alias(k) for k, c in given.items()), s["mins"].alias("hks_"), counts.alias("cnts_"))
+    met = combined(arrays, [*group, *given], num, True)
+    fields = F.struct(*(F.col(f"{k}_").alias(k) for k in ("num", "ksize", "is_protein", "seed", "max_hash")), F.col("hks_").alias("mins"), F.when(F.col("tracked_"), F.col("cnts_")).alias("abunds"))
+    return met.select(*group, fields.cast(SKETCH).alias("sketch"))
+
+
 def merge_all(sketches: DataFrame, by: Sequence[str], num: int | None = None, sketch: str = "sketch", **expected) -> DataFrame:
     """(by, sketch): the merge of each group's sketches, counts of equal hashes summed. Counts are kept only
     if every sketch of the group tracks them. The group's word size, molecule, threshold and seed stay; sketches that
@@ -241,6 +253,10 @@ def merge_all(sketches: DataFrame, by: Sequence[str], num: int | None = None, sk
     whole = F.array(F.struct(F.lit(None).cast("bigint").alias("hk"), F.lit(None).cast("bigint").alias("abund")))  # stands for the sketch itself
     group = list(by) or ["all_"]
     rows = sketches.withColumn("all_", F.lit(0)) if not by else sketches
+    if num and plain_groups(rows, group):
+        rows, s = _met_in_tasks(rows, group, s, num), F.col("sketch")
+        ones = F.transform(s["mins"], lambda _: F.lit(1).cast("bigint"))
+        pairs = F.transform(F.arrays_zip(s["mins"].alias("hk"), F.coalesce(s["abunds"], ones).alias("abund")), lambda x: F.struct(x["hk"].alias("hk"), x["abund"].alias("abund")))
     rows = rows.select(*group, F.struct(*(s[k].alias(k) for k in KEYS)).alias("p_"), s["num"].alias("num_"), s["abunds"].isNotNull().alias("tracked_"), F.explode(F.concat(pairs, whole)).alias("e_"))
     counted = rows.groupBy(*group, F.col("e_.hk").alias("hk")).agg(F.sum("e_.abund").alias("cnt"), F.min("p_").alias("low_"), F.max("p_").alias("high_"), F.min("num_").alias("num_"), F.min("tracked_").alias("tracked_"))
     least = F.first(F.when(F.col("hk").isNull(), F.col("num_") if num is None else F.lit(num).cast("bigint")), True).over(Window.partitionBy(*group))
