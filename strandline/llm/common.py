@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,20 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def trim(spark: SparkSession) -> None:
+    """Give back to the system what the driver's JVM has freed outside its heap. The C library keeps such memory, thread by
+    thread, and plans by the dozen, each compiled and dealt out, leave some hundred MB of it. JVMs other than HotSpot on
+    Linux have no such command, and are left alone."""
+    gateway, java = spark.sparkContext._gateway, spark._jvm.java
+    kind, name, text, some, texts = (java.lang.Class.forName(x) for x in ("javax.management.MBeanServer", "javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))
+    types, values = gateway.new_array(java.lang.Class, 4), gateway.new_array(java.lang.Object, 4)
+    command = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    for i, (of, value) in enumerate(((name, command), (text, "systemTrimNativeHeap"), (some, None), (texts, None))):
+        types[i], values[i] = of, value
+    with contextlib.suppress(Py4JJavaError):
+        kind.getMethod("invoke", types).invoke(java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again: lineage ends there, and a lost
     executor costs no more than the tasks it was running. ``zstd`` is for tables of texts: its writers hold memory
@@ -61,6 +77,7 @@ def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     schema = df.schema
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", codec).parquet(path)
+    trim(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -72,6 +89,7 @@ def materialise_buckets(df: DataFrame, tag: str, column: str, buckets: int) -> D
     path = f"{shared_dir(spark)}/{name}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name)
+    trim(spark)
     return spark.table(name)
 
 

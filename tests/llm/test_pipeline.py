@@ -1,10 +1,12 @@
 import os
+import re
 import shutil
 import subprocess
 import sys
 
 import corpus_pipeline
 from strandline.llm import queries
+from strandline.llm.common import materialise
 from strandline.llm.near_duplicates import near_duplicates
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -37,6 +39,32 @@ def test_empty_and_awkward(spark, sf, awkward, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/{name}{i}")
 
 
+def test_freed_memory_goes_back(spark):
+    """What the driver's JVM has freed outside its heap, in holes between what it still holds, doesn't stay with it once a
+    scratch table is written."""
+    java = spark._jvm.java
+    pid = java.lang.ProcessHandle.current().pid()
+
+    def held():
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    materialise(spark.range(1), "small")  # so that the heap has grown before
+    field = java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    memory = field.get(None)
+    pieces = [memory.allocateMemory(1 << 16) for _ in range(3200)]
+    for x in pieces:
+        memory.setMemory(x, 1 << 16, 1)
+    for x in pieces[:-1]:
+        memory.freeMemory(x)
+    kept = held()
+    materialise(spark.range(1), "small")
+    given_back = kept - held()
+    memory.freeMemory(pieces[-1])
+    assert given_back > 100
+
+
 def test_the_rest_works_without_this_package(tmp_path):
     for part in ("strandline", "__spark_entry__.py"):
         source = os.path.join(REPO, part)
