@@ -1,8 +1,8 @@
 """A modified Kneser-Ney model of code points whose tables are sharded by n-gram and grow with the text.
 
 An n-gram is ``ORDER`` whole code points, so every script is told apart and a window reaches over the ends of
-words. Each order's counts, contexts and probabilities are tables of their own, never gathered anywhere. Below
-the unigrams all code points there are get an equal share.
+words. The counts of all orders are one table, written once and never gathered anywhere. Below the unigrams all
+code points there are get an equal share.
 
 To score texts they are first put into blocks of BLOCK_BYTES, written in buckets of blocks. Each block names its
 different n-grams once, packed and dealt to shards by their hash. The different n-grams of a shard get their
@@ -16,7 +16,6 @@ The model itself has n-grams as strings.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,37 +145,43 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) if n[k] and n[k + 1] else usual[k - 1] for k in (1, 2, 3)]
 
 
+def shorter(highest: DataFrame) -> DataFrame:
+    """(gram, c, order) of the orders below the highest: there an n-gram counts once for each code point before it."""
+    # With c in it the aggregate below is the same one as in the highest order's own rows, so that its shuffle is shared.
+    seen = highest.where("c > 0")
+    tails = (F.struct(F.lit(n).alias("order"), F.substring("gram", ORDER - n, n + 1).alias("longer")) for n in range(1, ORDER - 1))
+    longer = seen.select(F.lit(ORDER - 1).alias("order"), F.col("gram").alias("longer")).union(seen.select(F.explode(F.array(*tails)).alias("a")).select("a.*").distinct())
+    return longer.groupBy(F.expr("substring(longer, 2, order)").alias("gram"), "order").agg(F.count(F.lit(1)).alias("c")).select("gram", "c", "order")
+
+
 def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
     """(gram, context, own, gamma, order) of each n-gram of each order: its discounted share of its context, and the
-    context's weight of the order below."""
-    spark, before = trusted.sparkSession, written(trusted.sparkSession)
-    orders = {ORDER: materialise(count(trusted, text_col), "ngrams")}
-    for n in range(ORDER - 1, 0, -1):  # below the highest order an n-gram counts once for each code point before it
-        shorter = orders[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-        orders[n] = materialise(shorter, "ngrams")
-    counted = [x for x in written(spark) if x not in before]
-    every = functools.reduce(DataFrame.union, [df.select("gram", F.substring("gram", 1, n - 1).alias("context"), "c", F.lit(n).alias("order")) for n, df in orders.items()])
-    rare = {r["order"]: r for r in every.groupBy("order").agg(*(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).collect()}
-    lost = F.lit(None).cast("double")
-    for n in rare:
-        d1, d2, d3 = discounts([rare[n][f"n{k}"] for k in (1, 2, 3, 4)])
-        lost = F.when(F.col("order") == n, F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)).otherwise(lost)
+    context's weight of the order below. Only counts are written, once for all orders, as each file costs an executor two
+    forks where Hadoop has no native code; the discounts, which need all counts, come when the table is read."""
+    highest = count(trusted, text_col)
+    every = highest.select("gram", "c", F.lit(ORDER).alias("order")).union(shorter(highest))
     context = Window.partitionBy("order", "context")  # at most as many rows as there are code points
-    shares = every.withColumn("d", lost).select("gram", "context", ((F.col("c") - F.col("d")) / F.sum("c").over(context)).alias("own"), (F.sum("d").over(context) / F.sum("c").over(context)).alias("gamma"), "order")
-    model = materialise(shares, "model")
-    remove(spark, counted)
-    return model
+    of = [F.count_if(x).over(context).alias(f"k{k}") for k, x in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") >= 3))]
+    counted = every.withColumn("context", F.expr("substring(gram, 1, order - 1)"))
+    counts = materialise(counted.select("gram", "context", "c", F.sum("c").over(context).alias("all"), *of, "order"), "model")
+    rare = counts.groupBy("order").agg(*(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).collect()
+    lost = held = F.lit(None).cast("double")
+    for r in rare:
+        d1, d2, d3 = discounts([r[f"n{k}"] for k in (1, 2, 3, 4)])
+        here = F.col("order") == r["order"]
+        lost = F.when(here, F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)).otherwise(lost)
+        held = F.when(here, d1 * F.col("k1") + d2 * F.col("k2") + d3 * F.col("k3")).otherwise(held)
+    return counts.select("gram", "context", ((F.col("c") - lost) / F.col("all")).alias("own"), (held / F.col("all")).alias("gamma"), "order")
 
 
 def probabilities(model: DataFrame, grams: DataFrame) -> DataFrame:
     """(gram, p) of the n-grams of the highest order in ``grams`` (gram, each once), seen in training or not."""
     spark, before = grams.sparkSession, written(grams.sparkSession)
     highest = materialise(grams, "asked")
-    shorter = F.explode(F.array(*(F.struct(F.lit(n).alias("order"), F.substring("gram", ORDER + 1 - n, n).alias("gram")) for n in range(1, ORDER))))
-    lower = materialise(highest.select(shorter.alias("a")).select("a.*").distinct(), "asked")
     below = None
     for n in range(1, ORDER + 1):
-        rows = (highest if n == ORDER else lower.where(F.col("order") == n)).select("gram", F.substring("gram", 1, n - 1).alias("context"), F.substring("gram", 2, n - 1).alias("suffix"))
+        asked = highest if n == ORDER else highest.select(F.substring("gram", ORDER + 1 - n, n).alias("gram")).distinct()
+        rows = asked.select("gram", F.substring("gram", 1, n - 1).alias("context"), F.substring("gram", 2, n - 1).alias("suffix"))
         known = model.where(F.col("order") == n)
         rows = rows.join(known.select("gram", "own"), "gram", "left").join(known.groupBy("context").agg(F.first("gamma").alias("gamma")), "context", "left")
         if below is None:
